@@ -4,16 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
-from .shared import table
+from . import bpe, exact_dedup, packing, token_counts, token_files
+from .chunks import vocabulary
+from .shared import fresh_folder, table
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), fresh_folder(spark, "tokens"), path, end_id=2))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, room=2048)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.documents_counted(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=50256)
+
+
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op4_packing": op4_packing,
+    "op5_bpe": op5_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
