@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, token_counts, token_files
+from . import bpe, exact_dedup, packing, quality_rules, token_counts, token_files
 from .chunks import vocabulary
 from .shared import fresh_folder, table
 
@@ -26,6 +26,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.documents_counted(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=50256)
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
