@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality_rules, token_counts, token_files
+from . import bpe, exact_dedup, near_dedup, packing, quality_rules, token_counts, token_files
 from .chunks import vocabulary
 from .shared import fresh_folder, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), fresh_folder(spark, "tokens"), path, end_id=2))
@@ -35,6 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_token_files": op2_token_files,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,

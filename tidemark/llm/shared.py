@@ -12,12 +12,15 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.shipping import ship_package
+
 #: The white space of every contract here: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_BYTES = np.zeros(256, dtype=bool)
 SPACE_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
