@@ -4,12 +4,14 @@ import os
 import sys
 import time
 
+import pandas as pd
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple(str(x) if x is not None and x == x else "NULL" for x in row) for row in frame.itertuples(index=False))
+    return sorted(tuple("NULL" if x is None or x is pd.NA or x != x else str(int(x)) if isinstance(x, float) and x.is_integer() else str(x) for x in row) for row in frame.itertuples(index=False))
 
 
 def main(args):
