@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, pii, quality_rules, token_counts, token_files, warc
+from . import bpe, exact_dedup, language_id, near_dedup, packing, pii, quality_rules, token_counts, token_files, warc
 from .chunks import vocabulary
 from .shared import fresh_folder, table
 
@@ -21,6 +21,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), fresh_folder(spark, "tokens"), path, end_id=2))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, room=2048)
 
@@ -52,6 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_files": op2_token_files,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
