@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, shared
+from tidemark.llm import exact_dedup, near_dedup, packing, pii, quality_rules, shared
+from tidemark.llm.chunks import vocabulary
+from tidemark.llm.queries import PSEUDONYM_KEY
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the learned decision list rejects go."""
+    labels = shared.table(spark, sf_dir, "labels")
+    return quality_rules.kept(docs, labels)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,11 +20,31 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.representatives(docs, percent=85)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms."""
+    shared.ship_package(spark)
+    return pii.replace(docs, key=PSEUDONYM_KEY, findings=False)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are packed into sequences of 2048 tokens."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1, room=2048)
+
+
 STAGES = [
+    ("quality rules", quality),
     ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("PII", private),
+    ("packing", packed),
 ]
 
-#: Quality rules are learned and near-duplicates are linked: SQL cannot express them.
+#: Rules are learned, near duplicates linked and texts tokenized: SQL cannot express these stages.
 ORACLE_SQL = None
 
 
