@@ -39,6 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
+    ship_package(spark)
     return f"{shared_folder(spark).rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
