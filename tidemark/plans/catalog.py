@@ -1,4 +1,6 @@
 """Every named query of the library, and its DuckDB counterpart."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import expressions, relational, searches, versioned, windowed  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
