@@ -1 +1,149 @@
 """Writes, transactions and history of versioned tables, as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.session import Engine
+
+from .registry import plan
+
+
+def _supplier(spark, t, key: str | None = None):
+    db = Engine(spark).open(":memory:")
+    db.import_table("supplier", t["supplier"], key=key)
+    return db
+
+
+@plan("dml_insert_values", "SELECT * FROM (VALUES (1, 'a', 2.5::DOUBLE), (2, 'b', NULL), (3, 'c', 7.0)) v(id, name, price)")
+def _insert_values(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.execute("CREATE TABLE items (id INTEGER PRIMARY KEY, name TEXT NOT NULL, price REAL); INSERT INTO items(name, price) VALUES ('a', 2.5), ('b', NULL); INSERT INTO items VALUES (3, 'c', 7)")
+    return db.query("SELECT * FROM items")
+
+
+@plan("dml_insert_select", "SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
+def _insert_select(spark, t):
+    db = _supplier(spark, t)
+    db.execute("CREATE TABLE per (k INTEGER, n INTEGER); INSERT INTO per SELECT s_nationkey, count(*) FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey")
+    return db.query("SELECT * FROM per")
+
+
+@plan("dml_update", "SELECT s_suppkey, CASE WHEN s_nationkey BETWEEN 3 AND 9 THEN s_acctbal * 2 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def _update(spark, t):
+    db = _supplier(spark, t)
+    db.execute("UPDATE supplier SET s_acctbal = s_acctbal * 2 WHERE s_nationkey BETWEEN 3 AND 9")
+    return db.query("SELECT s_suppkey, s_acctbal FROM supplier")
+
+
+@plan("dml_update_from", "SELECT s_suppkey, s_name || '/' || n_name AS s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def _update_from(spark, t):
+    db = _supplier(spark, t)
+    db.import_table("nation", t["nation"])
+    db.execute("UPDATE supplier SET s_name = s_name || '/' || n_name FROM nation WHERE n_nationkey = s_nationkey")
+    return db.query("SELECT s_suppkey, s_name FROM supplier")
+
+
+@plan("dml_delete", "SELECT s_suppkey, s_name FROM supplier WHERE NOT (s_acctbal < 1000 OR s_nationkey = 7)")
+def _delete(spark, t):
+    db = _supplier(spark, t)
+    db.execute("DELETE FROM supplier WHERE s_acctbal < 1000 OR s_nationkey = 7")
+    return db.query("SELECT s_suppkey, s_name FROM supplier")
+
+
+@plan("dml_upsert", "SELECT n_regionkey AS k, sum(1) AS n, max(n_name) AS last FROM nation GROUP BY 1 UNION ALL SELECT 99, 1, 'new'")
+def _upsert(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.import_table("nation", t["nation"])
+    db.execute("CREATE TABLE c (k INTEGER PRIMARY KEY, n INTEGER, last TEXT); INSERT INTO c SELECT n_regionkey, 1, min(n_name) FROM nation GROUP BY n_regionkey")
+    db.execute(
+        "INSERT INTO c SELECT n_regionkey, count(*) - 1, max(n_name) FROM nation GROUP BY n_regionkey UNION ALL SELECT 99, 1, 'new' ON CONFLICT(k) DO UPDATE SET n = n + excluded.n, last = excluded.last"
+    )
+    return db.query("SELECT * FROM c")
+
+
+@plan("dml_insert_or", "SELECT s_suppkey, CASE WHEN s_suppkey BETWEEN 1 AND 3 THEN 'replaced' ELSE s_name END AS s_name FROM supplier")
+def _insert_or(spark, t):
+    db = _supplier(spark, t, key="s_suppkey")
+    db.execute("INSERT OR IGNORE INTO supplier(s_suppkey, s_name) VALUES (1, 'ignored'), (2, 'ignored'); INSERT OR REPLACE INTO supplier(s_suppkey, s_name) VALUES (1, 'replaced'), (2, 'replaced'), (3, 'replaced')")
+    return db.query("SELECT s_suppkey, s_name FROM supplier")
+
+
+@plan("dml_returning", "SELECT s_suppkey, round(s_acctbal + 1, 2) AS after FROM supplier WHERE s_nationkey = 3")
+def _returning(spark, t):
+    db = _supplier(spark, t)
+    return db.execute("UPDATE supplier SET s_acctbal = s_acctbal + 1 WHERE s_nationkey = 3 RETURNING s_suppkey, round(s_acctbal, 2) AS after")
+
+
+@plan("tx_rollback_invisible", "SELECT count(*) AS inside, (SELECT count(*) FROM supplier) AS after, (SELECT count(*) FROM supplier) AS other FROM supplier WHERE s_nationkey <> 3")
+def _rollback(spark, t):
+    db = _supplier(spark, t)
+    other = Engine(spark).open(db.store.root, mode="fresh", read_only=True)
+    db.execute("BEGIN; DELETE FROM supplier WHERE s_nationkey = 3")
+    inside, seen = db.query("SELECT count(*) AS inside FROM supplier"), other.query("SELECT count(*) AS other FROM supplier")
+    db.execute("ROLLBACK")
+    return inside.crossJoin(db.query("SELECT count(*) AS after FROM supplier")).crossJoin(seen)
+
+
+@plan("tx_savepoint", "SELECT count(*) AS n FROM supplier WHERE s_nationkey <> 3")
+def _savepoint(spark, t):
+    db = _supplier(spark, t)
+    db.execute("BEGIN; DELETE FROM supplier WHERE s_nationkey = 3; SAVEPOINT a; DELETE FROM supplier; ROLLBACK TO a; COMMIT")
+    return db.query("SELECT count(*) AS n FROM supplier")
+
+
+@plan("snapshot_time_travel", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0")
+def _time_travel(spark, t):
+    db = _supplier(spark, t)
+    db.execute("DELETE FROM supplier WHERE s_suppkey % 2 = 1")
+    there = db.generation
+    db.execute("DELETE FROM supplier; INSERT INTO supplier(s_suppkey, s_name) VALUES (1, 'later')")
+    return db.at(there).sql("SELECT s_suppkey, s_name FROM supplier")
+
+
+@plan("change_feed", "SELECT s_suppkey, 'delete' AS change FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 100000, 'insert'")
+def _change_feed(spark, t):
+    db = _supplier(spark, t)
+    first = db.generation
+    db.execute("DELETE FROM supplier WHERE s_nationkey = 3; INSERT INTO supplier(s_suppkey, s_name) VALUES (100000, 'x')")
+    return db.changes(first, table="supplier").select("s_suppkey", F.col("_change").alias("change"))
+
+
+@plan("vacuum_preserves", "SELECT count(*) AS n, sum(s_suppkey) AS keys, 1 AS files FROM supplier")
+def _vacuum(spark, t):
+    db = _supplier(spark, t)
+    for k in range(3):
+        db.execute(f"INSERT INTO supplier(s_suppkey) VALUES ({-k - 1})")
+    db.execute("DELETE FROM supplier WHERE s_suppkey < 0; VACUUM")
+    files = db.status()["files"]
+    return db.query("SELECT count(*) AS n, sum(s_suppkey) AS keys FROM supplier").withColumn("files", F.lit(files))
+
+
+@plan("schema_catalog", "SELECT * FROM (VALUES ('table', 'a', 'a'), ('view', 'v', 'v'), ('index', 'ix', 'a')) t(type, name, tbl_name)")
+def _catalog(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.execute("CREATE TABLE a (id INTEGER PRIMARY KEY, v TEXT); CREATE VIEW v AS SELECT id FROM a; CREATE INDEX ix ON a(v)")
+    return db.query("SELECT type, name, tbl_name FROM sqlite_schema")
+
+
+@plan("pragma_table_info", "SELECT * FROM (VALUES (0, 'id', 'INTEGER', 0, 1), (1, 'v', 'TEXT', 1, 0), (2, 'w', 'REAL', 0, 0)) t(cid, name, type, \"notnull\", pk)")
+def _table_info(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.execute("CREATE TABLE pt (id INTEGER PRIMARY KEY, v TEXT NOT NULL, w REAL)")
+    return db.execute("PRAGMA table_info(pt)").drop("dflt_value")
+
+
+@plan("ddl_alter", "SELECT r_regionkey AS id, r_name AS title, 5 AS stars FROM region")
+def _alter(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.import_table("r", t["region"])
+    db.execute("ALTER TABLE r RENAME COLUMN r_name TO title; ALTER TABLE r RENAME COLUMN r_regionkey TO id; ALTER TABLE r ADD COLUMN stars INTEGER DEFAULT 5; ALTER TABLE r RENAME TO places")
+    return db.query("SELECT id, title, stars FROM places")
+
+
+@plan("ddl_view_generated", "SELECT r_regionkey AS id, r_regionkey * 2 AS twice FROM region WHERE r_regionkey > 1")
+def _view_generated(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.import_table("region", t["region"])
+    db.execute("CREATE TABLE g (id INTEGER PRIMARY KEY, twice INTEGER GENERATED ALWAYS AS (id * 2) STORED); INSERT INTO g(id) SELECT r_regionkey FROM region WHERE r_regionkey > 0; CREATE VIEW big AS SELECT * FROM g WHERE id > 1")
+    return db.query("SELECT id, twice FROM big")
