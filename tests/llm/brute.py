@@ -17,3 +17,43 @@ def statistics(text):
             repeated += line in seen
             seen.add(line)
     return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_dup_lines": repeated, "n_repeat_words": len(covered)}
+
+
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, width=5):
+    words = WORD.findall((text or "").translate(_LOWER))
+    if len(words) < width:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+
+
+def near(rows, percent=85):
+    """(id, text) to {id: (set size, smallest id of its component)}, comparing every pair."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            both = len(x & y)
+            if x and y and 100 * both >= percent * (len(x) + len(y) - both):
+                up[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[root(k)] = min(i, least.get(root(k), i))
+    return {i: (len(s), least[root(k)]) for k, (i, s) in enumerate(sets)}
+
+
+def exact(rows):
+    """(id, text) to {id: (keep, size, kept)} for distinct ids."""
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
+    return {i: (min(g)[1], len(g), (n, i) == min(g)) for g in groups.values() for n, i in g}
