@@ -58,3 +58,20 @@ def test_many_unlike_rows_in_one_bucket(spark, docs, monkeypatch):
     want = brute.near(rows)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_components_of_long_chains_and_stars(spark, docs):
+    import random
+
+    from tidemark.llm import components
+
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(80)]
+    rng.shuffle(edges)
+    sets = components.Union(3000)
+    for a, b in edges:
+        sets.join(a, b)
+    want = {x: sets.root(x) for x in range(3000) if sets.root(x) != x}
+    df = spark.createDataFrame(edges, "u long, v long").repartition(6)
+    assert {r["node"]: r["root"] for r in components.components(df).collect()} == want
+    assert components.components(df.where("u < 0")).count() == 0
