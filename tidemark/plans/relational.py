@@ -17,7 +17,7 @@ sql(
         round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
     FROM lineitem WHERE l_shipdate <= DATE '2000-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
 )
-sql("scan_project", "SELECT c_custkey, c_name, round(c_acctbal * 1.1, 2) AS raised, upper(c_mktsegment) AS segment FROM customer")
+sql("scan_project", "SELECT c_custkey, c_name, c_acctbal * 1.1 AS raised, upper(c_mktsegment) AS segment FROM customer")
 sql("scan_count", "SELECT count(*) AS n, sum(CAST(length(text) AS BIGINT)) AS letters FROM documents")
 sql("point_lookup", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 4711")
 sql("filter_compare", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_discount < 0.03 AND l_returnflag <> 'N'")
