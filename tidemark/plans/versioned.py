@@ -147,3 +147,17 @@ def _view_generated(spark, t):
     db.import_table("region", t["region"])
     db.execute("CREATE TABLE g (id INTEGER PRIMARY KEY, twice INTEGER GENERATED ALWAYS AS (id * 2) STORED); INSERT INTO g(id) SELECT r_regionkey FROM region WHERE r_regionkey > 0; CREATE VIEW big AS SELECT * FROM g WHERE id > 1")
     return db.query("SELECT id, twice FROM big")
+
+
+@plan("bulk_insert_million", "SELECT count(*) AS n, sum(length('v' || range)) AS letters FROM range(1, 1000001)")
+def _bulk_insert(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, value TEXT); WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 1000000) INSERT INTO t SELECT x, 'v' || x FROM c")
+    return db.query("SELECT count(*) AS n, sum(length(value)) AS letters FROM t")
+
+
+@plan("point_select_by_key", "SELECT 777 AS id, 'v777' AS value")
+def _point_select(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, value TEXT); WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 10000) INSERT INTO t SELECT x, 'v' || x FROM c")
+    return db.query("SELECT id, value FROM t WHERE id = 777")
