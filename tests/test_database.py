@@ -130,3 +130,16 @@ def test_lost_answers(spark, tmp_path, how):
 
 def test_store_probe(tmp_path):
     assert all(LocalStore(str(tmp_path)).probe().values())
+
+
+def test_triggers_run_for_all_changed_rows(db):
+    db.execute("CREATE TABLE log (what TEXT, id INTEGER, was TEXT, now TEXT)")
+    db.execute(
+        "CREATE TRIGGER a AFTER INSERT ON items BEGIN INSERT INTO log VALUES ('insert', NEW.id, NULL, NEW.v); END;"
+        "CREATE TRIGGER b AFTER UPDATE OF v ON items FOR EACH ROW WHEN NEW.v <> OLD.v BEGIN INSERT INTO log SELECT 'update', NEW.id, OLD.v, NEW.v WHERE NEW.id > 1; END;"
+        "CREATE TRIGGER c AFTER DELETE ON items BEGIN INSERT INTO log(what, id) VALUES ('delete', OLD.id); END"
+    )
+    db.execute("INSERT INTO items(v) VALUES ('four'); UPDATE items SET v = 'x' WHERE id <= 2; UPDATE items SET v = v; DELETE FROM items WHERE id = 3")
+    assert rows(db.query("SELECT what, id, coalesce(was, '-'), coalesce(now, '-') FROM log")) == [("delete", 3, "-", "-"), ("insert", 4, "-", "four"), ("update", 2, "two", "x")]
+    with pytest.raises(DialectError):
+        db.execute("CREATE TRIGGER d BEFORE INSERT ON items BEGIN INSERT INTO log(what) VALUES ('x'); END")

@@ -54,6 +54,7 @@ class Database:
         self.foreign_keys = False
         self.changed, self.total_changed, self.last_rowid = 0, 0, 0
         self.whole: set[str] = set()
+        self.firing = 0
 
     # Reading.
 
@@ -461,6 +462,7 @@ class Database:
             fresh = self._merged(t, name, rows, exact, action, target, update, where)
         else:
             fresh = self._insert_rows(t, name, rows, exact)
+        self._fire("INSERT", name, fresh, None)
         return self._returning(p, t, name, fresh)
 
     def _sets(self, p: Parser, scope: Scope) -> dict[str, str]:
@@ -535,6 +537,32 @@ class Database:
         self.total_changed += self.changed
         return added if changed is None else added.unionByName(changed)
 
+    def _fire(self, event: str, name: str, new: DataFrame | None, old: DataFrame | None, changed: set[str] = frozenset()) -> None:
+        """Runs the table's AFTER triggers over all changed rows at once."""
+        found = [x for _, x in sorted(self.state["triggers"].items()) if x["table"].lower() == name.lower() and x["event"] == event and (not x["columns"] or {c.lower() for c in x["columns"]} & changed)]
+        if not found:
+            return
+        if self.firing >= 8:
+            raise DialectError("too many levels of trigger recursion")
+        from tidemark.plans import ddl
+
+        columns = [c["name"] for c in self._table(name)["columns"]]
+        shown = lambda df, alias: df.select("_rowid", F.struct(*columns).alias(alias))
+        rows = shown(new, "NEW") if new is not None else None
+        if old is not None:
+            rows = shown(old, "OLD") if rows is None else rows.join(shown(old, "OLD"), "_rowid")
+        rows = self._kept(rows)
+        counts = self.changed, self.last_rowid
+        self.firing += 1
+        try:
+            for x in found:
+                for statement in x["body"]:
+                    rows.createOrReplaceTempView("_td_trigger")
+                    self._dml(ddl.set_based(statement, x["when"]))
+        finally:
+            self.firing -= 1
+        self.changed, self.last_rowid = counts
+
     def _kept(self, df: DataFrame) -> DataFrame:
         """Rows that later steps must see alike: written beside the data and read back."""
         path = self.store.uri(f"staged/{uuid.uuid4().hex}")
@@ -575,9 +603,11 @@ class Database:
             stay = df.join(changed.select(F.col("_rowid").alias("_hit")), F.col("_rowid") == F.col("_hit"), "left_anti")
             return stay.unionByName(self._completed_update(t, name, fresh))
 
+        before = self._read(t).join(changed.select(F.col("_rowid").alias("_hit")), F.col("_rowid") == F.col("_hit"), "left_semi")
         self._rewritten(t, changed, replaced)
         self.changed = changed.count()
         self.total_changed += self.changed
+        self._fire("UPDATE", name, changed, before, set(sets))
         return self._returning(p, t, name, changed)
 
     def _completed_update(self, t: dict, name: str, fresh: DataFrame) -> DataFrame:
@@ -605,6 +635,7 @@ class Database:
             self.changed = sum(f["rows"] for f in t["files"].values())
             t["files"] = {}
         self.total_changed += self.changed
+        self._fire("DELETE", name, None, gone)
         return self._returning(p, t, name, gone)
 
     # Schema.
