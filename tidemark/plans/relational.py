@@ -61,8 +61,15 @@ sql(
 sql("join_semi_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 sql("join_semi_in", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)")
 sql("join_anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '2000-01-01')")
-sql("join_anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
-sql("join_anti_not_in_null", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 1) FROM lineitem WHERE l_partkey < 5)")
+@plan("join_anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
+def _not_in(spark, t):
+    return joins.not_in(t["part"].select("p_partkey"), t["lineitem"].where("l_quantity > 40"), "p_partkey", "l_partkey")
+
+
+@plan("join_anti_not_in_null", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 1) FROM lineitem WHERE l_partkey < 5)")
+def _not_in_null(spark, t):
+    listed = t["lineitem"].where("l_partkey < 5").selectExpr("nullif(l_partkey, 1) AS k")
+    return joins.not_in(t["part"], listed, "p_partkey", "k").agg(F.count("*").alias("n"))
 
 
 @plan(
