@@ -185,6 +185,9 @@ def encoder(path: str) -> chunks.Encoder:
     return chunks.Encoder(lambda texts: [made.encode(t) for t in texts])
 
 
+shared.forgets += [encoder.cache_clear, vocabulary.cache_clear]
+
+
 def decimal_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Every id as ',digits': bytes and offsets."""
     told = [f",{i}".encode() for i in range(size)]
@@ -199,6 +202,7 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.
 
 
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, outputs: bool) -> Iterator[pa.RecordBatch]:
+    shared.serves("bpe")
     made, own = vocabulary(path), encoder(path)
     digits, digit_offsets = decimal_table(len(made.entry))
     for batch in shared.bounded(batches, "text", 2 << 20):

@@ -115,6 +115,9 @@ def library_encoder(path: str, plain: bool = False) -> Encoder:
     return Encoder(lambda texts: [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)])
 
 
+shared.forgets.append(library_encoder.cache_clear)
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file on this machine."""
     import public_tokenizers

@@ -52,6 +52,7 @@ def _runs(batches: Iterator[pa.RecordBatch], leaders_only: bool) -> Iterator[pa.
     Holds the ids of the open run only. With `leaders_only` each run gives its
     first row with all columns; otherwise each row gives its decision.
     """
+    shared.serves("exact")
     part = TaskContext.get().partitionId()
     last_text = None
     open_rows: list[pa.RecordBatch] = []

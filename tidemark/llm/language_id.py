@@ -310,9 +310,11 @@ def held_out(id_col: str) -> Column:
 
 
 _READERS: dict[str, Reader] = {}
+shared.forgets.append(_READERS.clear)
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None, name: str) -> Iterator[pa.RecordBatch]:
+    shared.serves("language")
     reader = None
     if model is not None:
         if name not in _READERS:

@@ -83,6 +83,7 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, room: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    shared.serves("packing")
     encoder, part, row = chunks.library_encoder(path), TaskContext.get().partitionId(), 0
     for batch in shared.bounded(batches, "text", 8 << 20):
         ids, begins = chunks.with_end(*encoder.encode(batch.column("text")), end_id)

@@ -248,6 +248,7 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]
 
 
 def _replaced(batches: Iterator[pa.RecordBatch], text_at: int, key: bytes) -> Iterator[pa.RecordBatch]:
+    shared.serves("pii")
     for batch in batches:
         column = batch.column(text_at)
         texts, counts, spans = [], [], []

@@ -125,6 +125,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch], text: str, carried: list[str]) -> Iterator[pa.RecordBatch]:
+    shared.serves("quality")
     for batch in shared.bounded(batches, text):
         found = measure(batch.column(text))
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *[pa.array(found[s].astype(np.int64)) for s in STATISTICS]], names=[*carried, *[f"_td_{s}" for s in STATISTICS]])

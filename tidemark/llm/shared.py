@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What frees the memory of operators that remember things in a worker; which operator this worker serves.
+forgets: list[Callable[[], None]] = []
+_served: list[str] = [""]
+
+
+def serves(operator: str) -> None:
+    """A worker process serves many operators, one after the other: what one remembers goes when another begins."""
+    if _served[0] != operator:
+        _served[0] = operator
+        for forget in forgets:
+            forget()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,6 +36,7 @@ BLOCK = 4 << 20
 
 
 def _flat(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    shared.serves("token counts")
     part = TaskContext.get().partitionId()
     encoder = chunks.library_encoder(path, plain=True)
     told, tokens = [], 0

@@ -159,6 +159,7 @@ class Shard:
 
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
+    shared.serves("token files")
     part = TaskContext.get().partitionId()
     encoder = chunks.library_encoder(path)
     keys, null, lengths = [], [], []
