@@ -50,6 +50,7 @@ sql("join_right", "SELECT c_custkey, count(o_orderkey) AS n FROM (SELECT * FROM
 sql("join_full", "SELECT s_nationkey, c_nationkey, count(*) AS n FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey < 15) s FULL OUTER JOIN (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey > 8) c ON s_nationkey = c_nationkey GROUP BY s_nationkey, c_nationkey")
 sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 sql("join_using", "SELECT k, c_name, s_name FROM (SELECT c_nationkey AS k, c_name FROM customer WHERE c_custkey <= 200) a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) b USING (k)")
+sql("join_using_whole", "SELECT k, c_name, s_name FROM (SELECT c_nationkey AS k, c_name FROM customer) a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) b USING (k)")
 sql("join_natural", "SELECT k, r_name, n_name FROM (SELECT r_regionkey AS k, r_name FROM region) a NATURAL JOIN (SELECT n_regionkey AS k, n_name FROM nation) b")
 sql("join_self", "SELECT a.n_name AS first, b.n_name AS second FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql(
@@ -72,14 +73,29 @@ def _not_in_null(spark, t):
     return joins.not_in(t["part"], listed, "p_partkey", "k").agg(F.count("*").alias("n"))
 
 
+@plan("join_anti_not_in_null_whole", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 1) FROM lineitem)")
+def _not_in_null_whole(spark, t):
+    listed = t["lineitem"].selectExpr("nullif(l_partkey, 1) AS k")
+    return joins.not_in(t["part"], listed, "p_partkey", "k").agg(F.count("*").alias("n"))
+
+
+def _priced(t, orders):
+    prices = orders.select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
+    spans = t["part"].select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 2).alias("high"))
+    return joins.range_join(spans, prices, "low", "high", "at", width=2.0).select("p_partkey", "o_orderkey")
+
+
 @plan(
     "join_theta_range",
     """SELECT p_partkey, o_orderkey FROM part JOIN orders ON o_totalprice / 100 BETWEEN p_retailprice AND p_retailprice + 2 WHERE o_orderkey % 50 = 0""",
 )
 def _join_theta_range(spark, t):
-    prices = t["orders"].where("o_orderkey % 50 = 0").select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
-    spans = t["part"].select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 2).alias("high"))
-    return joins.range_join(spans, prices, "low", "high", "at", width=2.0).select("p_partkey", "o_orderkey")
+    return _priced(t, t["orders"].where("o_orderkey % 50 = 0"))
+
+
+@plan("join_theta_range_whole", "SELECT p_partkey, o_orderkey FROM part JOIN orders ON o_totalprice / 100 BETWEEN p_retailprice AND p_retailprice + 2")
+def _join_theta_range_whole(spark, t):
+    return _priced(t, t["orders"])
 
 
 @plan(
