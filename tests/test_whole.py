@@ -42,3 +42,10 @@ def test_using_join_of_all_customers(spark, tables, tmp_path):
 def test_not_in_of_all_lines(spark, tables, tmp_path, more, n):
     lines = tables["lineitem"] + [{"l_partkey": k} for k in more]
     assert _run(spark, tmp_path, tables | {"lineitem": lines}, "join_anti_not_in_null_whole") == [(n,)]
+
+
+def test_box_join_of_all_boxes(spark, tables, tmp_path):
+    boxes = [(p["p_partkey"], p["p_size"], p["p_size"] + 1, p["p_retailprice"], p["p_retailprice"] + 3) for p in tables["part"]]
+    want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4])
+    assert any(a % 10 for a, _ in want)
+    assert _run(spark, tmp_path, tables, "rtree_box_join_whole") == want
