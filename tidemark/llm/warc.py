@@ -217,6 +217,10 @@ _DATE = "20240101000000"
 _KEY = re.compile(rb"\r\nX-Page-Id: (-?\d+|none [\d-]+)\r\n")
 
 
+def _clean(url: str | None) -> str:
+    return re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", url or "") or UNKNOWN_URL
+
+
 def _archived(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     name, count, row = f"pages-{part:06d}", 0, 0
@@ -231,8 +235,7 @@ def _archived(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Rec
             key = str(page_id) if page_id is not None else f"none {part}-{row}"
             row += 1
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {key}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-            clean = re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", url or "") or UNKNOWN_URL
-            made.append(arc_record(version, clean, "0.0.0.0", _DATE, "text/html", head + payload, f"{name}.arc"))
+            made.append(arc_record(version, _clean(url), "0.0.0.0", _DATE, "text/html", head + payload, f"{name}.arc"))
         return b"".join(made)
 
     def identity(record: ArcRecord, digest: str) -> str:
@@ -242,12 +245,12 @@ def _archived(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Rec
     def pieces() -> Iterator[bytes]:
         nonlocal count
         for batch in shared.bounded(batches, "html", 4 << 20):
-            keeps = iter(batch.column("keep").to_pylist())
+            keeps = iter(zip(batch.column("keep").to_pylist(), batch.column("keep_url").to_pylist(), strict=True))
             ids = iter(batch.column("page_id").to_pylist())
 
             def refers(record: ArcRecord, digest: str, ids=ids, keeps=keeps) -> tuple[str, str] | None:
-                own, keep = next(ids), next(keeps)
-                return None if keep is None or keep == own else (page_identifier(keep, ""), UNKNOWN_URL)
+                own, (keep, url) = next(ids), next(keeps)
+                return None if keep is None or keep == own else (page_identifier(keep, ""), _clean(url))
 
             for k, record in enumerate(parse_arc(arc(batch))):
                 if k or not count:
@@ -274,8 +277,8 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     keyed = rows.select("*", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("size"))
     large = keyed.where(F.col("size") >= LEAST_SHARED)
     # Groups of equal payloads, counted with partial aggregation; staged, so that the join below can split a large group.
-    groups = shared.staged(large.groupBy("sha", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("g_sha"), F.col("size").alias("g_size"), "keep"), "payload-groups")
-    told = keyed.join(groups, (F.col("sha") == F.col("g_sha")) & (F.col("size") == F.col("g_size")), "left").select("page_id", "url", "html", "keep")
+    groups = shared.staged(large.groupBy("sha", "size").agg(F.max("page_id").alias("keep"), F.max_by("url", "page_id").alias("keep_url"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("g_sha"), F.col("size").alias("g_size"), "keep", "keep_url"), "payload-groups")
+    told = keyed.join(groups, (F.col("sha") == F.col("g_sha")) & (F.col("size") == F.col("g_size")), "left").select("page_id", "url", "html", "keep", "keep_url")
     return shared.staged(told.mapInArrow(lambda it: _archived(it, folder), "uri string, n_pages long"), "archives")
 
 
