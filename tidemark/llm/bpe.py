@@ -226,4 +226,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Ids and decoded text of every document, as digests; with `outputs` also as `ids` and `decoded`."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * outputs
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda it: _round_trip(it, path, outputs), schema)
+    return shared.through(rows, lambda it: _round_trip(it, path, outputs), schema)

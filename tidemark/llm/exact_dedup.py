@@ -73,7 +73,7 @@ def _runs(batches: Iterator[pa.RecordBatch], leaders_only: bool) -> Iterator[pa.
             return rows
         return rows.select(["_td_id", "_td_sha"])
 
-    for batch in shared.bounded(batches, "_td_text", 8 << 20):
+    for batch in shared.bounded(batches, "_td_text", 2 << 20):
         n = batch.num_rows
         texts = shared.without_space(batch.column("_td_text"))
         same = np.zeros(n, dtype=bool)
@@ -137,7 +137,7 @@ def _edges(runs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    runs = shared.staged(_sorted(docs, id_col, text_col, []).mapInArrow(lambda it: _runs(it, False), _DECISION), "exact-runs")
+    runs = shared.staged(shared.through(_sorted(docs, id_col, text_col, []), lambda it: _runs(it, False), _DECISION), "exact-runs")
     whole = runs.join(F.broadcast(_edges(runs).withColumnRenamed("_td_sha", "_e_sha")), F.col("_td_edge") & (F.col("_td_sha") == F.col("_e_sha")), "left")
     inner = F.col("_e_sha").isNull()
     return whole.select(
@@ -157,7 +157,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flagged = docs.withColumn("_td_null", F.col(text_col).isNull())
     fields.append(T.StructField(f"_in_{len(carried)}", T.BooleanType()))
     schema = T.StructType([*T._parse_datatype_string(_DECISION).fields, *fields])
-    leaders = shared.staged(_sorted(flagged, id_col, text_col, [*carried, "_td_null"]).mapInArrow(lambda it: _runs(it, True), schema), "exact-leaders")
+    leaders = shared.staged(shared.through(_sorted(flagged, id_col, text_col, [*carried, "_td_null"]), lambda it: _runs(it, True), schema), "exact-leaders")
     later = _edges(leaders).select(F.col("_td_sha").alias("_e_sha"), "_all_part")
     stay = leaders.join(F.broadcast(later), F.col("_td_edge") & (F.col("_td_sha") == F.col("_e_sha")) & (F.col("_td_part") != F.col("_all_part")), "left_anti")
     back = {c: F.col(f"_in_{i}") for i, c in enumerate(carried)} | {text_col: F.when(~F.col(f"_in_{len(carried)}"), F.col("_td_text"))}

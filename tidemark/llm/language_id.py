@@ -296,7 +296,7 @@ def sample(docs: DataFrame, teaches: Column, id_col: str, text_col: str, lang_co
     within = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(bound.items()) for x in pair]), F.col("lang"))
     place = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1 << 30))
     candidates = taught.withColumn("hash", spread).where(F.col("hash").cast("double") / 2.0**64 + 0.5 < within).select("id", "lang", "text", "hash", place.alias("place"))
-    rows = candidates.mapInArrow(_sampled, "id long, hash long, lang string, words array<string>").collect()
+    rows = shared.through(candidates, _sampled, "id long, hash long, lang string, words array<string>").collect()
     out, taken = [], dict.fromkeys(counts, 0)
     for r in sorted(rows, key=lambda r: (r["hash"], r["id"])):
         if taken[r["lang"]] < DOCS_PER_LANGUAGE and r["words"]:
@@ -333,7 +333,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     name = uuid.uuid4().hex
     # A model's size is bounded by SIZE, the languages and the sample's words; each executor gets it once.
     told = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(lambda it: _predicted(it, told.value, name), "doc_id long, held_out boolean, lang_pred string, score double")
+    return shared.through(rows, lambda it: _predicted(it, told.value, name), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -85,7 +85,7 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, room: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     shared.serves("packing")
     encoder, part, row = chunks.library_encoder(path), TaskContext.get().partitionId(), 0
-    for batch in shared.bounded(batches, "text", 8 << 20):
+    for batch in shared.bounded(batches, "text", 2 << 20):
         ids, begins = chunks.with_end(*encoder.encode(batch.column("text")), end_id)
         sizes = np.diff(begins)
         count = -(-sizes // room)
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, path: str, end_id: int, room: int = 2048, id_col: str
     """Pieces of every document with their sequence and place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     extra = ", ids array<long>" * with_ids
-    pieces = shared.staged(rows.mapInArrow(lambda it: _pieces(it, path, end_id, room, with_ids), "doc_id long, _row long, start long, length long, ids_crc32 long, doc_tokens long" + extra), "pieces")
+    pieces = shared.staged(shared.through(rows, lambda it: _pieces(it, path, end_id, room, with_ids), "doc_id long, _row long, start long, length long, ids_crc32 long, doc_tokens long" + extra), "pieces")
     count = pieces.where("start = 0").count()
     groups = max(LEAST_GROUPS, -(-count // GROUP_DOCS))
     # The seeded hash deals documents at random; rows of one document share its row number and so its group.

@@ -265,6 +265,6 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", findings: bool =
     schema = T.StructType([*[T.StructField(a, docs.schema[c].dataType) for a, c in zip(names, docs.columns, strict=True)], T.StructField("_td_spans", span), *[T.StructField(f"_td_{n}", T.IntegerType()) for n in NAMES]])
     told, at = hashlib.blake2b(key.encode(), digest_size=32).digest(), docs.columns.index(text_col)
     text = names[at]
-    made = docs.select(*[F.col(c).alias(a) for c, a in zip(docs.columns, names, strict=True)]).mapInArrow(lambda it: _replaced(shared.bounded(it, text), at, told), schema)
+    made = shared.through(docs.select(*[F.col(c).alias(a) for c, a in zip(docs.columns, names, strict=True)]), lambda it: _replaced(shared.bounded(it, text), at, told), schema)
     kept = [F.col(a).alias(c) for a, c in zip(names, docs.columns, strict=True)]
     return made.select(*kept, *([F.col("_td_spans").alias("spans"), *[F.col(f"_td_{n}").alias(f"n_{n}") for n in NAMES]] if findings else []))

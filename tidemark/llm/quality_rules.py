@@ -138,7 +138,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", carried: list[str]
     rows = docs.select(*[F.col(c).alias(a) for c, a in zip(carried, names, strict=True)], *([] if text_col in carried else [F.col(text_col).alias("_td_text")]))
     text = names[carried.index(text_col)] if text_col in carried else "_td_text"
     schema = T.StructType([*[T.StructField(a, docs.schema[c].dataType) for c, a in zip(carried, names, strict=True)], *[T.StructField(f"_td_{s}", T.LongType()) for s in STATISTICS]])
-    return rows.mapInArrow(lambda it: _measured(it, text, names), schema)
+    return shared.through(rows, lambda it: _measured(it, text, names), schema)
 
 
 @dataclasses.dataclass(frozen=True)

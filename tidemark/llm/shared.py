@@ -43,6 +43,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows go to the Python workers in batches of about so many bytes.
+BATCH_BYTES = 4 << 20
+
+
+def through(df: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of bounded size: Spark's own bound of 64 MB counts twice, in the executor and in the worker."""
+    spark = df.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(made, schema)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = fresh_folder(df.sparkSession, name)
@@ -108,7 +120,7 @@ def without_space(column: pa.Array) -> pa.Array:
     return bytes_array(data[keep], before[offsets])
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` bytes of the given column, a longer text alone in its slice."""
     for batch in batches:
         if not batch.num_rows:
@@ -120,3 +132,4 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()

@@ -43,7 +43,7 @@ def _flat(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int
 
     def pieces() -> Iterator[bytes]:
         nonlocal tokens
-        for batch in shared.bounded(batches, "text", 8 << 20):
+        for batch in shared.bounded(batches, "text", 2 << 20):
             ids, _ = chunks.with_end(*encoder.encode(batch.column("text")), end_id)
             told.append(batch.column("doc_id"))
             tokens += len(ids)
@@ -61,7 +61,7 @@ def _flat(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int
 def write_flat(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes documents to flat files, a file a partition; one row a document: part, uri, place, doc_id, bytes of the file."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return shared.staged(rows.mapInArrow(lambda it: _flat(it, folder, path, end_id), "part int, uri string, place long, doc_id long, bytes long"), "flat-files")
+    return shared.staged(shared.through(rows, lambda it: _flat(it, folder, path, end_id), "part int, uri string, place long, doc_id long, bytes long"), "flat-files")
 
 
 def _scan(batches: Iterator[pa.RecordBatch], end_id: int, lengths: bool) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def count_tokens(spark: SparkSession, files: list[tuple[str, int]], end_id: int,
     if not blocks:
         return spark.createDataFrame([], "ordinal long, n_tokens long, ended boolean")
     schema = "block long, uri string, start long, stop long"
-    found = {r["block"]: r for r in _listed(spark, blocks, schema).mapInArrow(lambda it: _scan(it, end_id, False), "block long, ends long, after long").collect()}
+    found = {r["block"]: r for r in shared.through(_listed(spark, blocks, schema), lambda it: _scan(it, end_id, False), "block long, ends long, after long").collect()}
     before = carried = 0
     rows = []
     for b in blocks:
@@ -110,7 +110,7 @@ def count_tokens(spark: SparkSession, files: list[tuple[str, int]], end_id: int,
         before += r["ends"]
         carried = r["after"] if r["ends"] else carried + r["after"]
     rows[-1][-1] = carried
-    return _listed(spark, [tuple(r) for r in rows], schema + ", before long, carried long, open long").mapInArrow(lambda it: _scan(it, end_id, True), "ordinal long, n_tokens long, ended boolean")
+    return shared.through(_listed(spark, [tuple(r) for r in rows], schema + ", before long, carried long, open long"), lambda it: _scan(it, end_id, True), "ordinal long, n_tokens long, ended boolean")
 
 
 def documents_counted(docs: DataFrame, path: str, end_id: int, block: int = BLOCK) -> DataFrame:

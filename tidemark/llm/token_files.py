@@ -165,7 +165,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id:
     keys, null, lengths = [], [], []
 
     def pieces() -> Iterator[bytes]:
-        for batch in shared.bounded(batches, "text", 8 << 20):
+        for batch in shared.bounded(batches, "text", 2 << 20):
             ids, begins = chunks.with_end(*encoder.encode(batch.column("text")), end_id)
             column = batch.column("doc_id")
             null.append(column.is_null().to_numpy(zero_copy_only=False))
@@ -204,7 +204,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = shared.shuffle_partitions(docs.sparkSession)
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return shared.staged(ordered.mapInArrow(lambda it: _written(it, folder, path, end_id, width), "part int, uri string, n_docs long, n_tokens long"), "token-shards")
+    return shared.staged(shared.through(ordered, lambda it: _written(it, folder, path, end_id, width), "part int, uri string, n_docs long, n_tokens long"), "token-shards")
 
 
 def _entries(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -240,4 +240,4 @@ def read(shards: DataFrame) -> DataFrame:
     starts = np.concatenate([[0], np.cumsum([r["n_tokens"] for r in told])]).tolist()
     rows = [(r["uri"], s) for r, s in zip(told, starts, strict=False)]
     listed = spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), "uri string, start long")
-    return listed.mapInArrow(_entries, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shared.through(listed, _entries, "doc_id long, start long, n_tokens long, ids_crc32 long")

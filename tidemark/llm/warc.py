@@ -244,7 +244,7 @@ def _archived(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Rec
 
     def pieces() -> Iterator[bytes]:
         nonlocal count
-        for batch in shared.bounded(batches, "html", 4 << 20):
+        for batch in shared.bounded(batches, "html", 2 << 20):
             keeps = iter(zip(batch.column("keep").to_pylist(), batch.column("keep_url").to_pylist(), strict=True))
             ids = iter(batch.column("page_id").to_pylist())
 
@@ -279,7 +279,7 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     # Groups of equal payloads, counted with partial aggregation; staged, so that the join below can split a large group.
     groups = shared.staged(large.groupBy("sha", "size").agg(F.max("page_id").alias("keep"), F.max_by("url", "page_id").alias("keep_url"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("g_sha"), F.col("size").alias("g_size"), "keep", "keep_url"), "payload-groups")
     told = keyed.join(groups, (F.col("sha") == F.col("g_sha")) & (F.col("size") == F.col("g_size")), "left").select("page_id", "url", "html", "keep", "keep_url")
-    return shared.staged(told.mapInArrow(lambda it: _archived(it, folder), "uri string, n_pages long"), "archives")
+    return shared.staged(shared.through(told, lambda it: _archived(it, folder), "uri string, n_pages long"), "archives")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def read(files: DataFrame) -> DataFrame:
     # A row for each file, that is for each partition.
     uris = [(r["uri"],) for r in files.select("uri").collect()]
     listed = spark.createDataFrame(spark.sparkContext.parallelize(uris, max(1, len(uris))), "uri string")
-    rows = shared.staged(listed.mapInArrow(_read, "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_id string"), "archive-records")
+    rows = shared.staged(shared.through(listed, _read, "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_id string"), "archive-records")
     # Identifiers that are referred to, once each, then back to the revisits.
     named = rows.where("refers_id IS NOT NULL").select(F.col("refers_id").alias("wanted")).distinct()
     found = shared.staged(rows.where("record_type = 'response'").join(named, F.col("record_id") == F.col("wanted"), "left_semi").select(F.col("record_id").alias("r_id"), F.col("page_id").alias("refers_to")).distinct(), "referred")
