@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.shipping import ship_package
 
@@ -75,8 +76,20 @@ def serves(operator: str) -> None:
             forget()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def named(column: str) -> Column:
+    """A column by its very name, which may have dots and backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+#: A range-partitioned sort has a partition for every so many bytes of its input, and the session's shuffle partitions at least.
+PARTITION_BYTES = 64 << 20
+
+
+def sort_partitions(df: DataFrame) -> int:
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Without statistics Spark tells a size beyond any table's.
+    known = -(-size // PARTITION_BYTES) if size < 1 << 60 else 1
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
