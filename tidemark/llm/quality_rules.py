@@ -11,11 +11,17 @@ Spark conditional expression.
 `MOST_LABELLED` bounds the sample: the rows with the smallest seeded hashes of
 their ids. Statistics and verdicts cover all documents.
 
+The labelled rows are brought into the order of their ids before the seeded
+permutation that splits them, so the list is a function of the tables, however
+they are partitioned.
+
 Defined results: a null or empty text has zero for every statistic and fails the
 base rule; labels that are null or whose document is missing are not used; of
-labels that repeat a document the lowest counts; with no labels, or labels of one
-kind only, the list is empty and keeps what the base rule keeps; other columns
-pass through and may carry any name.
+labels that repeat a document the lowest counts, and of labelled documents that
+repeat an id the one with the smallest statistics teaches; rows that repeat an id
+are judged each by its own text; with no labels, or labels of one kind only, the
+list is empty and keeps what the base rule keeps; other columns pass through and
+may carry any name.
 """
 
 from __future__ import annotations
@@ -135,7 +141,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", carried: list[str]
     """Columns `carried` (all of them unless told) as _in_0, _in_1, ... and the statistics as _td_<name>."""
     carried = docs.columns if carried is None else carried
     names = [f"_in_{i}" for i in range(len(carried))]
-    rows = docs.select(*[F.col(c).alias(a) for c, a in zip(carried, names, strict=True)], *([] if text_col in carried else [F.col(text_col).alias("_td_text")]))
+    rows = docs.select(*[shared.named(c).alias(a) for c, a in zip(carried, names, strict=True)], *([] if text_col in carried else [shared.named(text_col).alias("_td_text")]))
     text = names[carried.index(text_col)] if text_col in carried else "_td_text"
     schema = T.StructType([*[T.StructField(a, docs.schema[c].dataType) for c, a in zip(carried, names, strict=True)], *[T.StructField(f"_td_{s}", T.LongType()) for s in STATISTICS]])
     return shared.through(rows, lambda it: _measured(it, text, names), schema)
@@ -269,7 +275,7 @@ def learn(rows: pd.DataFrame, label: str = "_td_label", prefix: str = "_td_") ->
 
 def labelled_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """At most MOST_LABELLED labels: _td_label_id, _td_label."""
-    rows = labels.select(F.col(id_col).cast("long").alias("_td_label_id"), F.col(label_col).cast("int").alias("_td_label")).dropna()
+    rows = labels.select(shared.named(id_col).cast("long").alias("_td_label_id"), shared.named(label_col).cast("int").alias("_td_label")).dropna()
     return rows.groupBy("_td_label_id").agg(F.min("_td_label").alias("_td_label")).orderBy(F.xxhash64("_td_label_id", F.lit(SEED)), "_td_label_id").limit(MOST_LABELLED)
 
 
@@ -277,10 +283,17 @@ def base_failed(prefix: str = "_td_") -> Column:
     return (F.col(prefix + "n_words") < 50) | (100 * F.col(prefix + "n_repeat_words") > 50 * F.col(prefix + "n_words"))
 
 
+def _taught(labelled: DataFrame) -> pd.DataFrame:
+    """One row for each labelled id (_in_0), at most MOST_LABELLED, in the order of the ids."""
+    told = F.struct(*[F.col(f"_td_{s}") for s in STATISTICS])
+    rows = labelled.groupBy("_in_0", "_td_label").agg(F.min(told).alias("s")).select("_in_0", "_td_label", "s.*").toPandas()
+    return rows.sort_values("_in_0", ignore_index=True)
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base statistics, base_failed and kept of every document."""
-    measured = shared.staged(with_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", ["doc_id"]), "statistics")
-    rules = learn(measured.join(F.broadcast(labelled_sample(labels)), F.col("_in_0") == F.col("_td_label_id")).toPandas())
+    measured = shared.staged(with_statistics(docs.select(shared.named(id_col).cast("long").alias("doc_id"), shared.named(text_col).alias("text")), "text", ["doc_id"]), "statistics")
+    rules = learn(_taught(measured.join(F.broadcast(labelled_sample(labels)), F.col("_in_0") == F.col("_td_label_id"))))
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return measured.select(F.col("_in_0").alias("doc_id"), *[F.col(f"_td_{s}").alias(s) for s in shown], base_failed().alias("base_failed"), (~base_failed() & rules.keeps()).alias("kept"))
 
@@ -288,8 +301,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that pass, with the columns of the input; texts are not shuffled."""
     sample = F.broadcast(labelled_sample(labels))
-    taught = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sample, F.col("doc_id") == F.col("_td_label_id"))
-    rows = with_statistics(taught, "text", ["doc_id", "_td_label"]).withColumnRenamed("_in_1", "_td_label").toPandas()
-    rules = learn(rows)
+    labelled = docs.select(shared.named(id_col).cast("long").alias("doc_id"), shared.named(text_col).alias("text")).join(sample, F.col("doc_id") == F.col("_td_label_id"))
+    rules = learn(_taught(with_statistics(labelled, "text", ["doc_id", "_td_label"]).withColumnRenamed("_in_1", "_td_label")))
     passed = with_statistics(docs, text_col).where(~base_failed() & rules.keeps())
     return passed.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
