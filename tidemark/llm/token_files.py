@@ -15,11 +15,19 @@ the number of set bits before its own. Finding a key takes about 1.6 hashes, one
 fingerprint and one offset, whatever the size of the shard. Rows that repeat an id
 lie side by side; the index leads to the first.
 
+Shards are cut by ascending id; a hash of the text and a random number break ties,
+so an id that repeats, or a null one, spreads over as many shards as its rows fill.
+The table that `write` returns is the index over all shards: first and last key of
+each. `lookup` goes by it to the shards that may hold a key, and there to the
+entry in constant time.
+
 The files are written where the cluster's shared folder is, one by each task,
 under a private name first, so a lost executor leaves no half file behind.
 
-Defined results: a null text has no tokens but the end id; a null document id sorts
-first and is in the file but not in the index; an empty table gives no file.
+Defined results: a null or empty text has no tokens but the end id; a null document
+id sorts first and is in the file but not in the index; rows that repeat an id are
+entries of their own, of which a lookup gives the first; an empty table gives no
+file; other columns are not read.
 """
 
 from __future__ import annotations
@@ -193,18 +201,54 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id:
         yield from stream
 
     shared.write_once(uri, chained())
-    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([sum(map(len, keys))], pa.int64()), pa.array([int(sum(x.sum() for x in lengths))], pa.int64())], names=["part", "uri", "n_docs", "n_tokens"])
+    real = np.concatenate(keys)[~np.concatenate(null)]
+    ends = [pa.array([int(real[i])] if len(real) else [None], pa.int64()) for i in (0, -1)]
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), *ends, pa.array([sum(map(len, keys))], pa.int64()), pa.array([int(sum(x.sum() for x in lengths))], pa.int64())], names=["part", "uri", "first_key", "last_key", "n_docs", "n_tokens"])
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes shards in ascending order of the ids; one row for each: part, uri, n_docs, n_tokens."""
+    """Writes shards in ascending order of the ids; one row for each: part, uri, first_key, last_key, n_docs, n_tokens."""
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = shared.shuffle_partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return shared.staged(shared.through(ordered, lambda it: _written(it, folder, path, end_id, width), "part int, uri string, n_docs long, n_tokens long"), "token-shards")
+    rows = docs.select(shared.named(id_col).cast("long").alias("doc_id"), F.coalesce(shared.named(text_col), F.lit("")).alias("text"))
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(shared.sort_partitions(rows), order, F.xxhash64("text"), F.rand(17)).sortWithinPartitions(order)
+    schema = "part int, uri string, first_key long, last_key long, n_docs long, n_tokens long"
+    return shared.staged(shared.through(dealt, lambda it: _written(it, folder, path, end_id, width), schema), "token-shards")
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uri, keys) to (doc_id, part, ids) of the keys that the shard has."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            shard, keys = Shard(row["uri"]), np.array(row["keys"], np.int64)
+            found = shard.find(keys)
+            have = np.flatnonzero(found >= 0)
+            ids = [shard.ids(i, i + 1).astype(np.int64) for i in found[have].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[have]), pa.array(np.full(len(have), row["part"], np.int32)), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "part", "ids"])
+
+
+def lookup(shards: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """doc_id and ids of the distinct keys that the written shards hold; each shard that may hold some is opened once.
+
+    The ranges of shards do not overlap but at their edges, so the range join finds about one shard a key.
+    """
+    wanted = keys.select(shared.named(key_col).cast("long").alias("k")).where("k IS NOT NULL").distinct()
+    # One row for each shard, that is for each partition that was written.
+    near = wanted.join(F.broadcast(shards.select("part", "uri", "first_key", "last_key")), F.col("k").between(F.col("first_key"), F.col("last_key")))
+    asked = near.groupBy("part", "uri", F.floor(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) / (1 << 14)).alias("deal")).agg(F.collect_list("k").alias("keys"))
+    found = shared.through(asked.select("part", "uri", "keys"), _looked_up, "doc_id long, part int, ids array<long>")
+    return found.groupBy("doc_id").agg(F.min_by("ids", "part").alias("ids"))
+
+
+def get(shards: DataFrame, key: int) -> np.ndarray | None:
+    """The tokens of one document out of all shards, or None."""
+    for row in shards.where(F.lit(key).between(F.col("first_key"), F.col("last_key"))).orderBy("part").select("uri").toLocalIterator():
+        found = Shard(row["uri"]).get(key)
+        if found is not None:
+            return found
+    return None
 
 
 def _entries(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
