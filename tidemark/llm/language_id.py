@@ -18,12 +18,17 @@ matrix is a constant, which cuts the chain there. The chain is folded into colum
 products over each column, then a scan over the columns, then all columns at once.
 
 The training sample is bounded: for each language the `DOCS_PER_LANGUAGE` documents
-with the smallest seeded hashes, each with up to `SAMPLE_WORDS` words from a seeded
-place. Predictions read whole texts. Words are maximal runs of letters, lower-cased.
+with the smallest seeded hashes, whole. Predictions read whole texts. Words are
+maximal runs of letters, lower-cased. `word_labels` gives each word of a text with
+its own language, which is what code-switched texts are read for; `predict` sums up.
 
 Defined results: a text that is null or has no letter is `und` with score 0; with no
 labelled document at all every text is `und`; labels of which no sampled document
-has a letter are not learned; ties go to the label that sorts first.
+has a letter are not learned; ties go to the label that sorts first. Rows that repeat
+an id are read each by its own text, and rows with a null id like any other, but do
+not teach; of sampled rows that share an id, language and text decide the order, so
+the sample is a function of the table. An empty table gives no rows; other columns
+are not read. A very long text is a slice of its own, some 200 bytes a word.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-DOCS_PER_LANGUAGE, SAMPLE_WORDS, SEED = 200, 120, 4_099
+DOCS_PER_LANGUAGE, SEED = 100, 4_099
 SEGMENT, SWITCHES = 12, 0.25
 STEPS, RATE, PENALTY = 40, 0.15, 1e-6
 #: Hashed features; words of the lexicon are those seen `LEXICON_LEAST` times in the sample.
@@ -246,39 +251,46 @@ class Reader:
         known.update(list(fresh.items())[:room])
         return out
 
-    def read(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def _told(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each text has, and the probabilities of all words, one text after the other."""
         kinds: dict[str, int] = {}
         codes, counts = [], []
         for text in texts:
             words = words_of(text) if text else []
             codes += [kinds.setdefault(w, len(kinds)) for w in words]
             counts.append(len(words))
-        labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        sizes = np.array(counts, np.int64)
         if not codes:
-            return labels, scores
-        sizes = np.array(counts)
-        own = np.flatnonzero(sizes)
-        begins = (np.cumsum(sizes) - sizes)[own]
+            return sizes, np.zeros((0, len(self.model.labels)))
         first = np.zeros(len(codes), bool)
-        first[begins] = True
-        told, _ = marginals(self._look_up(list(kinds))[np.array(codes)], self.model.moves, first)
-        sums = np.add.reduceat(told, begins, axis=0)
-        best = sums.argmax(axis=1)
-        scores[own] = np.clip(sums[np.arange(len(own)), best] / sizes[own], 0, 1)
-        for i, b in zip(own.tolist(), best.tolist(), strict=True):
-            labels[i] = self.model.labels[b]
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        return sizes, marginals(self._look_up(list(kinds))[np.array(codes)], self.model.moves, first)[0]
+
+    def read(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        sizes, told = self._told(texts)
+        own = np.flatnonzero(sizes)
+        if len(own):
+            sums = np.add.reduceat(told, (np.cumsum(sizes) - sizes)[own], axis=0)
+            best = sums.argmax(axis=1)
+            scores[own] = np.clip(sums[np.arange(len(own)), best] / sizes[own], 0, 1)
+            for i, b in zip(own.tolist(), best.tolist(), strict=True):
+                labels[i] = self.model.labels[b]
         return labels, scores
 
+    def read_words(self, texts: list[str | None]) -> list[list[str]]:
+        """The language of each word of each text."""
+        sizes, told = self._told(texts)
+        each = np.array(self.model.labels, object)[told.argmax(axis=1)]
+        return [part.tolist() for part in np.split(each, np.cumsum(sizes)[:-1])]
+
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to SAMPLE_WORDS words of each sampled document, from a seeded place."""
+    """All words of each sampled document."""
     for batch in batches:
-        out = []
-        for text, at in zip(batch.column("text").to_pylist(), batch.column("place").to_pylist(), strict=True):
-            words = words_of(text)
-            start = at % max(1, len(words) - SAMPLE_WORDS + 1)
-            out.append(words[start : start + SAMPLE_WORDS])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), batch.column("lang"), pa.array(out, pa.list_(pa.string()))], names=["id", "hash", "lang", "words"])
+        words = [words_of(text) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), batch.column("lang"), pa.array(words, pa.list_(pa.string()))], names=["id", "hash", "lang", "words"])
 
 
 def sample(docs: DataFrame, teaches: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
@@ -287,18 +299,17 @@ def sample(docs: DataFrame, teaches: Column, id_col: str, text_col: str, lang_co
     Languages are counted first (one row each); a document is a candidate if its
     hash is below a bound that leaves somewhat more than are wanted of its language.
     """
-    taught = docs.where(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    taught = docs.where(teaches & shared.named(lang_col).isNotNull() & shared.named(text_col).isNotNull() & shared.named(id_col).isNotNull()).select(shared.named(id_col).cast("long").alias("id"), shared.named(lang_col).alias("lang"), shared.named(text_col).alias("text"))
     counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     spread = F.xxhash64("id", F.lit(SEED))
     bound = {lang: min(1.0, 2 * DOCS_PER_LANGUAGE / n) for lang, n in counts.items()}
     within = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(bound.items()) for x in pair]), F.col("lang"))
-    place = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1 << 30))
-    candidates = taught.withColumn("hash", spread).where(F.col("hash").cast("double") / 2.0**64 + 0.5 < within).select("id", "lang", "text", "hash", place.alias("place"))
+    candidates = taught.withColumn("hash", spread).where(F.col("hash").cast("double") / 2.0**64 + 0.5 < within).select("id", "lang", "text", "hash")
     rows = shared.through(candidates, _sampled, "id long, hash long, lang string, words array<string>").collect()
     out, taken = [], dict.fromkeys(counts, 0)
-    for r in sorted(rows, key=lambda r: (r["hash"], r["id"])):
+    for r in sorted(rows, key=lambda r: (r["hash"], r["id"], r["lang"], r["words"])):
         if taken[r["lang"]] < DOCS_PER_LANGUAGE and r["words"]:
             taken[r["lang"]] += 1
             out.append((r["lang"], list(r["words"])))
@@ -306,21 +317,26 @@ def sample(docs: DataFrame, teaches: Column, id_col: str, text_col: str, lang_co
 
 
 def held_out(id_col: str) -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(shared.named(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 _READERS: dict[str, Reader] = {}
 shared.forgets.append(_READERS.clear)
 
 
+def _reader(model: Model | None, name: str) -> Reader | None:
+    """The worker's reader of a model, with what it remembers."""
+    if model is None:
+        return None
+    if name not in _READERS:
+        _READERS.clear()
+        _READERS[name] = Reader(model)
+    return _READERS[name]
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None, name: str) -> Iterator[pa.RecordBatch]:
     shared.serves("language")
-    reader = None
-    if model is not None:
-        if name not in _READERS:
-            _READERS.clear()
-            _READERS[name] = Reader(model)
-        reader = _READERS[name]
+    reader = _reader(model, name)
     for batch in shared.bounded(batches, "text", 1 << 20):
         texts = batch.column("text").to_pylist()
         labels, scores = reader.read(texts) if reader else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
@@ -329,13 +345,31 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None, name: str
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; only texts are read for it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(shared.named(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(shared.named(text_col), F.lit("")).alias("text"))
     name = uuid.uuid4().hex
     # A model's size is bounded by SIZE, the languages and the sample's words; each executor gets it once.
     told = docs.sparkSession.sparkContext.broadcast(model)
     return shared.through(rows, lambda it: _predicted(it, told.value, name), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _worded(batches: Iterator[pa.RecordBatch], model: Model | None, name: str) -> Iterator[pa.RecordBatch]:
+    shared.serves("language")
+    reader = _reader(model, name)
+    for batch in shared.bounded(batches, "text", 1 << 20):
+        texts = batch.column("text").to_pylist()
+        words = [words_of(t) for t in texts]
+        langs = reader.read_words(texts) if reader else [[UNKNOWN] * len(w) for w in words]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.list_(pa.string())), pa.array(langs, pa.list_(pa.string()))], names=["doc_id", "words", "langs"])
+
+
+def word_labels(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, words and langs of every document: its words in order, and the most probable language of each."""
+    rows = docs.select(shared.named(id_col).cast("long").alias("doc_id"), F.coalesce(shared.named(text_col), F.lit("")).alias("text"))
+    name = uuid.uuid4().hex
+    told = docs.sparkSession.sparkContext.broadcast(model)
+    return shared.through(rows, lambda it: _worded(it, told.value, name), "doc_id long, words array<string>, langs array<string>")
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from documents that are not held out, predicts every document."""
     return predict(docs, train(sample(docs, ~held_out(id_col), id_col, text_col, lang_col)), id_col, text_col)
