@@ -22,6 +22,7 @@ other columns pass through and may carry any name.
 from __future__ import annotations
 
 import datetime
+import bisect
 import functools
 import hashlib
 import re
@@ -226,16 +227,17 @@ def _compiled() -> tuple:
 
 def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and where in the given text they stand: start, end, kind."""
-    found: list[tuple[int, int, str, str]] = []
-    digits, at = any(c in text for c in "0123456789"), "@" in text
+    found: list[tuple[int, int, str, str]] = []  # disjoint, in order
+    digits, mails = any(c in text for c in "0123456789"), "@" in text
     for name, pattern, make, inner in _compiled():
-        if (name == "mail" and not at) or (name in ("account", "card", "social", "day", "address", "phone") and not digits):
+        if (name == "mail" and not mails) or (name in ("account", "card", "social", "day", "address", "phone") and not digits):
             continue
         for m in pattern.finditer(text):
             start, end = m.span(1) if inner else m.span()
-            if not any(a < end and start < b for a, b, _, _ in found) and (made := make(text[start:end], key)) is not None:
-                found.append((start, end, name, made))
-    found.sort()
+            at = bisect.bisect_left(found, (start,))
+            clear = (at == 0 or found[at - 1][1] <= start) and (at == len(found) or found[at][0] >= end)
+            if clear and (made := make(text[start:end], key)) is not None:
+                found.insert(at, (start, end, name, made))
     out, last = [], 0
     for start, end, _, made in found:
         out += [text[last:start], made]
@@ -259,12 +261,19 @@ def _replaced(batches: Iterator[pa.RecordBatch], text_at: int, key: bytes) -> It
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", findings: bool = True) -> DataFrame:
-    """The documents with pseudonyms; with `findings` also spans (in the given text) and n_<kind> of each kind."""
+    """The documents with pseudonyms; with `findings` also spans (in the given text) and n_<kind> of each kind.
+
+    A finding whose name the input has already gets underscores behind it.
+    """
     names = [f"_in_{i}" for i in range(len(docs.columns))]
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
     schema = T.StructType([*[T.StructField(a, docs.schema[c].dataType) for a, c in zip(names, docs.columns, strict=True)], T.StructField("_td_spans", span), *[T.StructField(f"_td_{n}", T.IntegerType()) for n in NAMES]])
     told, at = hashlib.blake2b(key.encode(), digest_size=32).digest(), docs.columns.index(text_col)
     text = names[at]
-    made = shared.through(docs.select(*[F.col(c).alias(a) for c, a in zip(docs.columns, names, strict=True)]), lambda it: _replaced(shared.bounded(it, text), at, told), schema)
+    made = shared.through(docs.select(*[shared.named(c).alias(a) for c, a in zip(docs.columns, names, strict=True)]), lambda it: _replaced(shared.bounded(it, text), at, told), schema)
     kept = [F.col(a).alias(c) for a, c in zip(names, docs.columns, strict=True)]
-    return made.select(*kept, *([F.col("_td_spans").alias("spans"), *[F.col(f"_td_{n}").alias(f"n_{n}") for n in NAMES]] if findings else []))
+
+    def free(name: str) -> str:
+        return name if name.lower() not in {c.lower() for c in docs.columns} else free(name + "_")
+
+    return made.select(*kept, *([F.col("_td_spans").alias(free("spans")), *[F.col(f"_td_{n}").alias(free(f"n_{n}")) for n in NAMES]] if findings else []))
