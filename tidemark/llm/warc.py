@@ -273,8 +273,8 @@ def _archived(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Rec
 
 def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes every page; one row for each file: uri, n_pages."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    keyed = rows.select("*", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("size"))
+    rows = pages.select(shared.named(id_col).cast("long").alias("page_id"), shared.named(url_col).cast("string").alias("url"), F.coalesce(shared.named(html_col), F.lit("")).alias("html"))
+    keyed = rows.select("*", F.sha2(F.col("html").cast("binary"), 256).alias("sha"), F.octet_length("html").alias("size"))
     large = keyed.where(F.col("size") >= LEAST_SHARED)
     # Groups of equal payloads, counted with partial aggregation; staged, so that the join below can split a large group.
     groups = shared.staged(large.groupBy("sha", "size").agg(F.max("page_id").alias("keep"), F.max_by("url", "page_id").alias("keep_url"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("g_sha"), F.col("size").alias("g_size"), "keep", "keep_url"), "payload-groups")
