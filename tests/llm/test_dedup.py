@@ -35,10 +35,10 @@ def test_one_group_over_many_partitions(spark, docs):
 
 def test_near_links_match_all_pairs(corpus, docs, nothing):
     want = brute.near(corpus)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(docs).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(docs, percent=85).collect()}
     assert got == want
-    assert near_dedup.link(nothing).count() == 0
-    stay = {r["doc_id"] for r in near_dedup.representatives(docs).collect()}
+    assert near_dedup.link(nothing, percent=85).count() == 0
+    stay = {r["doc_id"] for r in near_dedup.representatives(docs, percent=85).collect()}
     assert stay == {i for i, (_, c) in want.items() if i == c}
 
 
@@ -56,7 +56,7 @@ def test_many_unlike_rows_in_one_bucket(spark, docs, monkeypatch):
             own[rng.randrange(30)] = f"x{i}"
         rows.append((i, " ".join(shared + own)))
     want = brute.near(rows)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
     assert got == want
 
 
