@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.folders import shared_folder
+
 
 def series(spark: SparkSession, start: int, stop: int, step: int = 1) -> DataFrame:
     """What a counting recursion gives, without recursion: column x."""
@@ -17,7 +18,7 @@ def series(spark: SparkSession, start: int, stop: int, step: int = 1) -> DataFra
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

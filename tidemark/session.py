@@ -15,18 +15,18 @@ def column_types(df: DataFrame) -> dialect.Types:
     return {f.name: _TYPES.get(type(f.dataType)) for f in df.schema.fields}
 
 
-def run_query(spark: SparkSession, text: str, tables: dict[str, DataFrame], args: dict | list | None = None) -> DataFrame:
+def run_query(spark: SparkSession, text: str, tables: dict[str, DataFrame], args: dict | list | None = None, counters: dict[str, int] | None = None) -> DataFrame:
     """A query in the dialect over these tables. They are bound as temporary views while the query is analysed."""
-    found = {name.lower(): df for name, df in tables.items()}
+    lower = text.lower()
+    # Tables that the text does not name are not opened.
+    found = {name.lower(): tables[name] for name in tables if name.lower() in lower}
 
     def catalog(name: str) -> dialect.Types | None:
         return column_types(found[name.lower()]) if name.lower() in found else None
 
-    made = dialect.translate(text, catalog)
-    lower = text.lower()
+    made = dialect.translate(text, catalog, counters)
     for name, df in found.items():
-        if name in lower:
-            df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(name)
     if made.uses_edit:
         from tidemark.functions import jsons
 
@@ -62,13 +62,13 @@ class Engine:
         """Every known table of a directory, as it is."""
         from tidemark.sources.parquet_dir import TABLES, Tables
 
-        tables = Tables(self.spark, path)
-        for name in TABLES:
-            tables[name]
-        return Session(self.spark, tables)
+        return Session(self.spark, Tables(self.spark, path, TABLES))
+
+    def open(self, root: str = ":memory:", mode: str = "snapshot", read_only: bool = False, single_writer: bool = False):
+        """A versioned database; ':memory:' has a temporary root of its own in the cluster's shared folder.
 
-    def open(self, root: str = ":memory:", mode: str = "snapshot", read_only: bool = False):
-        """A versioned database; ':memory:' has a temporary root of its own."""
+        single_writer: asserts that nobody else writes, for stores that cannot order several writers' commits.
+        """
         from tidemark.database import Database
 
-        return Database(self.spark, root, mode=mode, read_only=read_only)
+        return Database(self.spark, root, mode=mode, read_only=read_only, single_writer=single_writer)
