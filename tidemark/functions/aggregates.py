@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .core import Value, as_real, as_text, plain, quoted, truth
+from .core import Value, as_real, as_text, plain, truth
 from .jsons import element
 
 NAMES = {"count", "sum", "total", "avg", "min", "max", "group_concat", "string_agg", "json_group_array", "json_group_object", "median", "percentile"}
@@ -56,5 +56,50 @@ def window(name: str, args: list[Value], over: str) -> Value:
     return Value(f"{name}({told}) OVER {over}", kinds.get(name, "int"))
 
 
-def distinct_text(x: Value) -> str:
-    return quoted(as_text(x))
+def _remains(start: str, end: str) -> list[tuple[str, str]]:
+    """The parts of a frame before and after the current row or peer group."""
+    rank = {"UNBOUNDED PRECEDING": -2, "CURRENT ROW": 0, "UNBOUNDED FOLLOWING": 2}
+    side = lambda x: rank.get(x, -1 if x.endswith("PRECEDING") else 1)
+    out = []
+    if side(start) < 0:
+        out.append((start, "1 PRECEDING" if side(end) >= 0 else end))
+    if side(end) > 0:
+        out.append(("1 FOLLOWING" if side(start) <= 0 else start, end))
+    return out
+
+
+def excluding(name: str, args: list[Value], x) -> Value:
+    """An aggregate over a window with EXCLUDE (see dialect.Exclusion), from the parts of the frame that stay.
+
+    CURRENT ROW leaves the rows before and after it, GROUP the peer groups before and after that of the row, TIES these
+    and the row itself. Frames of ranges keep their rows less the row: what a sum or count can be corrected for.
+    """
+    rows = f"{x.partition} {x.order} {x.unit} BETWEEN".strip()
+    own = plain(args[0]) if args else "1"
+    number = as_real(args[0]) if args and name in ("avg", "total") else own
+    if x.unit == "ROWS" and x.kind == "ROW" or x.unit == "RANGE" and x.order.startswith("ORDER BY _td_g") and x.kind in ("GROUP", "TIES"):
+        parts = [f"({rows} {a} AND {b})" for a, b in _remains(x.start, x.end)]
+        stays = x.kind == "TIES"
+    elif x.unit == "RANGE" and x.kind == "ROW" and name not in ("min", "max"):
+        parts, stays = None, False
+    else:
+        raise ValueError(f"EXCLUDE with a {x.unit} frame is not supported for {name}")
+    if name in ("min", "max"):
+        told = [f"{name}({own}) OVER {w}" for w in parts] + [own] * stays
+        pick = "least" if name == "min" else "greatest"
+        return Value(f"{pick}({', '.join(told)})" if len(told) > 1 else told[0] if told else "NULL", args[0].type)
+    if name not in ("sum", "total", "avg", "count"):
+        raise ValueError(f"EXCLUDE is not supported for {name}")
+    here = f"IF({own} IS NULL, 0, 1)"
+    if parts is None:
+        n, total = f"(count({own}) OVER {x.whole} - {here})", f"(coalesce(sum({number}) OVER {x.whole}, 0) - coalesce({number}, 0))"
+    else:
+        n = " + ".join([f"count({own}) OVER {w}" for w in parts] + [here] * stays) or "0"
+        total = " + ".join([f"coalesce(sum({number}) OVER {w}, 0)" for w in parts] + [f"coalesce({number}, 0)"] * stays) or "0"
+    if name == "count":
+        return Value(f"({n})", "int")
+    if name == "total":
+        return Value(f"CAST({total} AS DOUBLE)", "real")
+    if name == "avg":
+        return Value(f"try_divide(CAST({total} AS DOUBLE), {n})", "real")
+    return Value(f"CASE WHEN ({n}) > 0 THEN {total} END", "int" if args[0].type in ("int", "bool") else "real")

@@ -173,8 +173,41 @@ def _change(mode: str, root: dict, steps: list, value) -> None:
             return
 
 
+#: The columns of json_tree and their types.
+TREE = {"key": "text", "value": "text", "type": "text", "atom": "text", "id": "int", "parent": "int", "fullkey": "text", "path": "text"}
+_KINDS = {dict: "object", list: "array", str: "text", int: "integer", float: "real", type(None): "null"}
+
+
+def tree(told: str | None, path: str | None) -> list[tuple]:
+    """Every element of a JSON text from `path` on, parents first: the rows of json_tree."""
+    if told is None or path is None:
+        return []
+    root = json.loads(told)
+    steps = _steps(path)
+    for step in steps:
+        if isinstance(step, tuple):
+            step = len(root) - step[1] if isinstance(root, list) else None
+        if isinstance(root, dict) and step in root or isinstance(root, list) and isinstance(step, int) and 0 <= step < len(root):
+            root = root[step]
+        else:
+            return []
+    out: list[tuple] = []
+    # A stack, not recursion: nesting may be deep.
+    top = re.match(r"(.*?)(?:\.(?:\"[^\"]*\"|[^.\[]+)|\[[^\]]*\])$", path)
+    stack = [(None if not steps or isinstance(steps[-1], tuple) else str(steps[-1]), root, None, path, top[1] if top else path)]
+    while stack:
+        key, value, parent, full, above = stack.pop()
+        kind = "true" if value is True else "false" if value is False else _KINDS[type(value)]
+        text = json.dumps(value, ensure_ascii=False, separators=(",", ":")) if isinstance(value, (dict, list)) else value if isinstance(value, str) or value is None else str(int(value)) if isinstance(value, (bool, int)) else json.dumps(value)
+        mine = len(out)
+        out.append((key, text, kind, None if isinstance(value, (dict, list)) else text, mine, parent, full, above))
+        inner = [(k, v, mine, full + (f".{k}" if re.fullmatch(r"[A-Za-z_]\w*", k) else f'."{k}"'), full) for k, v in value.items()] if isinstance(value, dict) else [(str(i), v, mine, f"{full}[{i}]", full) for i, v in enumerate(value)] if isinstance(value, list) else []
+        stack += inner[::-1]
+    return out
+
+
 def register(spark) -> None:
-    """The one Python function of the dialect, in Arrow batches."""
+    """The two Python functions of the dialect, in Arrow batches."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
@@ -187,3 +220,10 @@ def register(spark) -> None:
 
     td_json_edit.__annotations__ = {"mode": pd.Series, "told": pd.Series, "paths": pd.Series, "values": pd.Series, "return": pd.Series}
     spark.udf.register("td_json_edit", pandas_udf(td_json_edit, "string"))
+
+    def td_json_tree(told: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(TREE, row, strict=True)) for row in tree(t, p)] for t, p in zip(told, path, strict=True)], dtype=object)
+
+    td_json_tree.__annotations__ = {"told": pd.Series, "path": pd.Series, "return": pd.Series}
+    fields = ", ".join(f"{c}: {'bigint' if k == 'int' else 'string'}" for c, k in TREE.items())
+    spark.udf.register("td_json_tree", pandas_udf(td_json_tree, f"array<struct<{fields}>>"))

@@ -164,7 +164,7 @@ FUNCTIONS = {
     "format": printf,
     "hex": lambda a: _text(f"hex(CAST({a[0].sql if a[0].type == 'blob' else as_text(a[0])} AS BINARY))"),
     "unhex": lambda a: Value(f"unhex({as_text(a[0])})", "blob"),
-    "char": lambda a: _text(f"concat({', '.join(f'decode(encode(chr({as_int(x)}), \"UTF-8\"), \"UTF-8\")' if isinstance(x.literal, int) and x.literal < 128 else f'chr({as_int(x)})' for x in a)})".replace('"', "'")),
+    "char": lambda a: _text("concat(" + ", ".join(f"decode(unhex(lpad(hex({as_int(x)}), 8, '0')), 'UTF-32')" for x in a) + ")"),
     "unicode": lambda a: _int(f"nullif(ascii({as_text(a[0])}), 0)"),
     "zeroblob": lambda a: Value(f"unhex(repeat('00', CAST({as_int(a[0])} AS INT)))", "blob"),
     "randomblob": lambda a: Value(f"unhex(left(repeat(replace(uuid(), '-', ''), CAST({as_int(a[0])} DIV 16 + 1 AS INT)), CAST({as_int(a[0])} * 2 AS INT)))", "blob"),

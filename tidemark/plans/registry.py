@@ -16,7 +16,7 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
     """A query in Spark SQL; without an oracle of its own the same text runs in both engines."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        load(spark, sf_dir)
+        load(spark, sf_dir, text)
         return spark.sql(text)
 
     QUERIES[name] = run
