@@ -30,22 +30,22 @@ def _run(spark, folder, tables, name):
 def test_range_join_of_all_orders(spark, tables, tmp_path):
     want = sorted((p["p_partkey"], o["o_orderkey"]) for p in tables["part"] for o in tables["orders"] if p["p_retailprice"] <= o["o_totalprice"] / 100 <= p["p_retailprice"] + 2)
     assert any(o % 50 for _, o in want)
-    assert _run(spark, tmp_path, tables, "join_theta_range_whole") == want
+    assert _run(spark, tmp_path, tables, "join_theta_range") == want
 
 
 def test_using_join_of_all_customers(spark, tables, tmp_path):
     want = sorted((c["c_nationkey"], c["c_name"], s["s_name"]) for c in tables["customer"] for s in tables["supplier"] if c["c_nationkey"] == s["s_nationkey"])
-    assert _run(spark, tmp_path, tables, "join_using_whole") == want
+    assert _run(spark, tmp_path, tables, "join_using") == want
 
 
 @pytest.mark.parametrize(("more", "n"), [([], 116), ([1], 0)])
 def test_not_in_of_all_lines(spark, tables, tmp_path, more, n):
     lines = tables["lineitem"] + [{"l_partkey": k} for k in more]
-    assert _run(spark, tmp_path, tables | {"lineitem": lines}, "join_anti_not_in_null_whole") == [(n,)]
+    assert _run(spark, tmp_path, tables | {"lineitem": lines}, "join_anti_not_in_null") == [(n,)]
 
 
 def test_box_join_of_all_boxes(spark, tables, tmp_path):
     boxes = [(p["p_partkey"], p["p_size"], p["p_size"] + 1, p["p_retailprice"], p["p_retailprice"] + 3) for p in tables["part"]]
     want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4])
     assert any(a % 10 for a, _ in want)
-    assert _run(spark, tmp_path, tables, "rtree_box_join_whole") == want
+    assert _run(spark, tmp_path, tables, "rtree_box_join") == want

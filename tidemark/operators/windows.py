@@ -37,10 +37,10 @@ def sum_excluding_ties(value: str, keys: list[str], order: list[str]) -> Column:
     return F.when(left > 0, F.sum(x).over(all_) - F.coalesce(F.sum(x).over(peers), F.lit(0)) + F.coalesce(x, F.lit(0)))
 
 
-def extreme_excluding_row(value: str, w, largest: bool) -> Column:
-    """min or max over a frame that has the current row, EXCLUDE CURRENT ROW: the frame's second value if this row has its only first."""
-    best, pick = (F.max, F.array_max) if largest else (F.min, F.array_min)
-    held = F.collect_list(value).over(w)
-    alone = F.size(F.filter(held, lambda v: v == best(value).over(w))) == 1
-    rest = F.filter(held, lambda v: v != F.col(value))
-    return F.when((F.col(value) == best(value).over(w)) & alone, pick(rest)).otherwise(best(value).over(w))
+def extreme_excluding_row(value: str, w, before: int, after: int, largest: bool) -> Column:
+    """min or max over ROWS BETWEEN `before` PRECEDING AND `after` FOLLOWING EXCLUDE CURRENT ROW: that of the rows before and of those after.
+
+    w: the window with its partition and order, without a frame.
+    """
+    best, pick = (F.max, F.greatest) if largest else (F.min, F.least)
+    return pick(best(value).over(w.rowsBetween(-before, -1)), best(value).over(w.rowsBetween(1, after)))

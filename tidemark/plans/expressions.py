@@ -84,3 +84,41 @@ dialect("json_mutate", "SELECT n_nationkey, json_set('{\"a\":1}', '$.b', n_natio
 dialect("dialect_aggregates", "SELECT n_regionkey, total(n_nationkey) AS t, group_concat(n_name, ';' ORDER BY n_name) AS g, count(*) FILTER (WHERE n_nationkey > 10) AS f FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(sum(n_nationkey) AS DOUBLE) AS t, string_agg(n_name, ';' ORDER BY n_name) AS g, count(*) FILTER (WHERE n_nationkey > 10) AS f FROM nation GROUP BY n_regionkey")
 dialect("dialect_distinct_from", "SELECT count(*) AS n FROM orders WHERE nullif(o_orderstatus, 'F') IS NOT DISTINCT FROM NULL", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
 dialect("dialect_window_filter", "SELECT n_nationkey, count(*) FILTER (WHERE n_nationkey > 5) OVER (PARTITION BY n_regionkey) AS f, group_concat(n_name, ',') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS g FROM nation", "SELECT n_nationkey, count(*) FILTER (WHERE n_nationkey > 5) OVER (PARTITION BY n_regionkey) AS f, string_agg(n_name, ',') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS g FROM nation")
+
+# What the static types of the dialect decide.
+
+dialect(
+    "dialect_values_expressions",
+    "SELECT column1 AS id, column2 AS word FROM (VALUES (1, 'a' || char(960)), (2, upper('b')), (1 + 2, NULL))",
+    "SELECT * FROM (VALUES (1, 'aπ'), (2, 'B'), (3, NULL)) v(id, word)",
+)
+dialect("dialect_char", "SELECT n_nationkey, char(960 + n_nationkey, 8364, 128512) AS c FROM nation", "SELECT n_nationkey, chr(960 + n_nationkey) || chr(8364) || chr(128512) AS c FROM nation")
+dialect(
+    "dialect_recursive_types",
+    "WITH RECURSIVE c(x, y, z) AS (SELECT 1, 1, 'a' UNION ALL SELECT x + 1, y * 2 % 7, z || x FROM c WHERE x < 30) SELECT x, y, z FROM c",
+    "WITH RECURSIVE c(x, y, z) AS (SELECT 1::BIGINT, 1::BIGINT, 'a' UNION ALL SELECT x + 1, y * 2 % 7, z || x FROM c WHERE x < 30) SELECT x, y, z FROM c",
+)
+dialect(
+    "dialect_affinity",
+    "SELECT p_partkey, '10' = 10 AS a, '10' > 10 AS b, 7 < 'x' AS c, p_size = '7' AS d, p_brand = 7 AS e FROM part",
+    "SELECT p_partkey, 0 AS a, 1 AS b, 1 AS c, CAST(p_size = 7 AS INTEGER) AS d, 0 AS e FROM part",
+)
+dialect("dialect_overflow", "SELECT 9223372036854775807 + 1 AS a, -9223372036854775807 - 2 AS b, 4611686018427387904 * 2 AS c, 2147483647 + 1 AS d", "SELECT 9223372036854775808::DOUBLE AS a, -9223372036854775809::DOUBLE AS b, 9223372036854775808::DOUBLE AS c, 2147483648 AS d")
+dialect(
+    "dialect_not_in_subquery",
+    "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40) AND nullif(p_size, 3) NOT IN (SELECT s_nationkey FROM supplier)",
+    "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40) AND nullif(p_size, 3) NOT IN (SELECT s_nationkey FROM supplier)",
+)
+dialect("dialect_not_in_null", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 1) FROM lineitem)", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 1) FROM lineitem)")
+dialect(
+    "dialect_json_tree",
+    """SELECT n_nationkey, t.fullkey AS fullkey, t.type AS type, t.atom AS atom FROM nation, json_tree('{"a":[1,' || n_nationkey || '],"b":{"c":"x"}}') AS t""",
+    """SELECT n_nationkey, fullkey, type, CASE WHEN fullkey = '$.a[1]' THEN CAST(n_nationkey AS VARCHAR) ELSE atom END AS atom FROM nation,
+        (VALUES ('$', 'object', NULL), ('$.a', 'array', NULL), ('$.a[0]', 'integer', '1'), ('$.a[1]', 'integer', ''), ('$.b', 'object', NULL), ('$.b.c', 'text', 'x')) v(fullkey, type, atom)""",
+)
+dialect("dialect_generate_series", "SELECT n_nationkey, s.value AS v FROM nation, generate_series(1, 9, 4) AS s", "SELECT n_nationkey, s.v AS v FROM nation, (VALUES (1), (5), (9)) s(v)")
+dialect(
+    "fn_unhex_soundex",
+    "SELECT n_nationkey, hex(unhex('41FF')) AS u, soundex(n_name) IS NOT NULL AS s, like('%a%', lower(n_name)) AS l, glob('*A*', n_name) AS g, length(randomblob(5)) AS r FROM nation",
+    "SELECT n_nationkey, '41FF' AS u, 1 AS s, CAST(contains(lower(n_name), 'a') AS INTEGER) AS l, CAST(contains(n_name, 'A') AS INTEGER) AS g, 5 AS r FROM nation",
+)

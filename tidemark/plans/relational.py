@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import joins, recursive, topk
 
-from .registry import plan, sql
+from .registry import ORACLES, dialect, plan, sql
 
 # Scans and filters.
 
@@ -22,21 +22,17 @@ sql("scan_count", "SELECT count(*) AS n, sum(CAST(length(text) AS BIGINT)) AS le
 sql("point_lookup", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 4711")
 sql("filter_compare", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_discount < 0.03 AND l_returnflag <> 'N'")
 sql("filter_between_in", "SELECT p_partkey, p_brand, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_size NOT BETWEEN 14 AND 16 AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33')")
-sql("filter_like_ci", "SELECT p_partkey, p_name FROM part WHERE translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%re%'", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RE%'")
-sql("filter_glob", "SELECT p_partkey, p_brand FROM part WHERE p_brand RLIKE '(?s)^Brand#[1-3].$'", "SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB 'Brand#[1-3]?'")
-sql(
-    "filter_null_safe",
-    "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders WHERE NOT (nullif(o_orderstatus, 'F') <=> 'O')",
-    "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders WHERE nullif(o_orderstatus, 'F') IS DISTINCT FROM 'O'",
-)
+dialect("filter_like_ci", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%RE%'", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RE%'")
+dialect("filter_glob", "SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB 'Brand#[1-3]?'", "SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB 'Brand#[1-3]?'")
+dialect("filter_null_safe", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders WHERE nullif(o_orderstatus, 'F') IS NOT 'O'", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders WHERE nullif(o_orderstatus, 'F') IS DISTINCT FROM 'O'")
 sql("filter_is_null", "SELECT count(*) AS n FROM (SELECT nullif(o_orderpriority, '1-URGENT') AS p FROM orders) t WHERE p IS NULL")
 sql(
     "case_iif_coalesce",
     """SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class,
         CASE p_brand WHEN 'Brand#11' THEN 1 ELSE 0 END AS first_brand, if(p_size % 2 = 0, 'even', 'odd') AS parity, coalesce(nullif(p_type, 'X'), 'none') AS kind FROM part""",
 )
-sql("bitwise_ops", "SELECT p_partkey, p_size & 7 AS a, p_size | 8 AS b, ~p_size AS c, shiftleft(p_size, 2) AS d, shiftright(p_size, 1) AS e FROM part", "SELECT p_partkey, p_size & 7 AS a, p_size | 8 AS b, ~p_size AS c, p_size << 2 AS d, p_size >> 1 AS e FROM part")
-sql("row_value_compare", "SELECT o_orderkey FROM orders WHERE named_struct('a', o_orderstatus, 'b', o_custkey) < named_struct('a', 'O', 'b', 500L)", "SELECT o_orderkey FROM orders WHERE (o_orderstatus, o_custkey) < ('O', 500)")
+dialect("bitwise_ops", "SELECT p_partkey, p_size & 7 AS a, p_size | 8 AS b, ~p_size AS c, p_size << 2 AS d, p_size >> 1 AS e FROM part", "SELECT p_partkey, p_size & 7 AS a, p_size | 8 AS b, ~p_size AS c, p_size << 2 AS d, p_size >> 1 AS e FROM part")
+dialect("row_value_compare", "SELECT o_orderkey FROM orders WHERE (o_orderstatus, o_custkey) < ('O', 500)", "SELECT o_orderkey FROM orders WHERE (o_orderstatus, o_custkey) < ('O', 500)")
 sql("collate_nocase", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) COLLATE UTF8_LCASE = 'BUILDING'", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
 sql("concat_operator", "SELECT n_nationkey, n_name || '/' || CAST(n_regionkey AS STRING) AS place, n_name || nullif(n_name, n_name) AS nothing FROM nation", "SELECT n_nationkey, n_name || '/' || CAST(n_regionkey AS VARCHAR) AS place, n_name || nullif(n_name, n_name) AS nothing FROM nation")
 sql("values_source", "SELECT column1, column2 FROM VALUES (1, 'a'), (2, 'b'), (3, 'c') AS t(column1, column2)", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) AS t(column1, column2)")
@@ -49,8 +45,7 @@ sql("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JO
 sql("join_right", "SELECT c_custkey, count(o_orderkey) AS n FROM (SELECT * FROM orders WHERE o_totalprice > 250000) o RIGHT JOIN customer ON c_custkey = o_custkey GROUP BY c_custkey")
 sql("join_full", "SELECT s_nationkey, c_nationkey, count(*) AS n FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey < 15) s FULL OUTER JOIN (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey > 8) c ON s_nationkey = c_nationkey GROUP BY s_nationkey, c_nationkey")
 sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
-sql("join_using", "SELECT k, c_name, s_name FROM (SELECT c_nationkey AS k, c_name FROM customer WHERE c_custkey <= 200) a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) b USING (k)")
-sql("join_using_whole", "SELECT k, c_name, s_name FROM (SELECT c_nationkey AS k, c_name FROM customer) a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) b USING (k)")
+sql("join_using", "SELECT k, c_name, s_name FROM (SELECT c_nationkey AS k, c_name FROM customer) a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) b USING (k)")
 sql("join_natural", "SELECT k, r_name, n_name FROM (SELECT r_regionkey AS k, r_name FROM region) a NATURAL JOIN (SELECT n_regionkey AS k, n_name FROM nation) b")
 sql("join_self", "SELECT a.n_name AS first, b.n_name AS second FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql(
@@ -67,51 +62,42 @@ def _not_in(spark, t):
     return joins.not_in(t["part"].select("p_partkey"), t["lineitem"].where("l_quantity > 40"), "p_partkey", "l_partkey")
 
 
-@plan("join_anti_not_in_null", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 1) FROM lineitem WHERE l_partkey < 5)")
+@plan("join_anti_not_in_null", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 1) FROM lineitem)")
 def _not_in_null(spark, t):
-    listed = t["lineitem"].where("l_partkey < 5").selectExpr("nullif(l_partkey, 1) AS k")
-    return joins.not_in(t["part"], listed, "p_partkey", "k").agg(F.count("*").alias("n"))
-
-
-@plan("join_anti_not_in_null_whole", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 1) FROM lineitem)")
-def _not_in_null_whole(spark, t):
     listed = t["lineitem"].selectExpr("nullif(l_partkey, 1) AS k")
     return joins.not_in(t["part"], listed, "p_partkey", "k").agg(F.count("*").alias("n"))
 
 
-def _priced(t, orders):
-    prices = orders.select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
+@plan("join_theta_range", "SELECT p_partkey, o_orderkey FROM part JOIN orders ON o_totalprice / 100 BETWEEN p_retailprice AND p_retailprice + 2")
+def _join_theta_range(spark, t):
+    prices = t["orders"].select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
     spans = t["part"].select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 2).alias("high"))
     return joins.range_join(spans, prices, "low", "high", "at", width=2.0).select("p_partkey", "o_orderkey")
 
 
-@plan(
-    "join_theta_range",
-    """SELECT p_partkey, o_orderkey FROM part JOIN orders ON o_totalprice / 100 BETWEEN p_retailprice AND p_retailprice + 2 WHERE o_orderkey % 50 = 0""",
-)
-def _join_theta_range(spark, t):
-    return _priced(t, t["orders"].where("o_orderkey % 50 = 0"))
-
-
-@plan("join_theta_range_whole", "SELECT p_partkey, o_orderkey FROM part JOIN orders ON o_totalprice / 100 BETWEEN p_retailprice AND p_retailprice + 2")
-def _join_theta_range_whole(spark, t):
-    return _priced(t, t["orders"])
-
-
 @plan(
     "join_asof_events",
     """SELECT p.event_id, v.ts AS view_ts, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = (SELECT max(event_type) FROM events)) p
     ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY user_id, ts) v ON p.user_id = v.user_id AND p.ts >= v.ts""",
 )
 def _join_asof(spark, t):
+    return _asof(t)
+
+
+def _asof(t, slices=None):
     ends = t["events"].agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
     e = t["events"].crossJoin(F.broadcast(ends))
     left = e.where("event_type = hi").select("event_id", "user_id", "ts")
     right = e.where("event_type = lo").groupBy("user_id", "ts").agg(F.max("value").alias("view_value"))
-    found = joins.asof_join(left, right, "ts", by=["user_id"], right_time="view_ts")
+    found = joins.asof_join(left, right, "ts", by=["user_id"], right_time="view_ts", slices=slices)
     return found.select("event_id", "view_ts", "view_value")
 
 
+@plan("join_asof_sliced", ORACLES["join_asof_events"])
+def _join_asof_sliced(spark, t):
+    return _asof(t, lambda ts: F.date_trunc("day", ts))
+
+
 sql(
     "lateral_topk",
     "SELECT n_name, s_suppkey FROM nation, LATERAL (SELECT s_suppkey FROM supplier WHERE s_nationkey = n_nationkey ORDER BY s_acctbal DESC, s_suppkey LIMIT 2) t",
@@ -123,7 +109,7 @@ sql("agg_global", "SELECT count(*) AS n, count(nullif(p_size, 1)) AS sized, min(
 sql("agg_group_having", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) > 15")
 sql("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, sum(DISTINCT CAST(l_quantity AS BIGINT)) AS quantities FROM lineitem GROUP BY l_returnflag")
 sql("agg_filter_clause", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 150000) AS large, round(sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 2) AS urgent FROM orders GROUP BY o_orderstatus")
-sql("agg_total", "SELECT c_mktsegment, coalesce(sum(CAST(CASE WHEN c_acctbal > 99999 THEN c_acctbal END AS DOUBLE)), 0D) AS total FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, coalesce(sum(CAST(CASE WHEN c_acctbal > 99999 THEN c_acctbal END AS DOUBLE)), 0.0) AS total FROM customer GROUP BY c_mktsegment")
+dialect("agg_total", "SELECT c_mktsegment, total(CASE WHEN c_acctbal > 99999 THEN c_acctbal END) AS total FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, coalesce(sum(CAST(CASE WHEN c_acctbal > 99999 THEN c_acctbal END AS DOUBLE)), 0.0) AS total FROM customer GROUP BY c_mktsegment")
 sql("agg_group_concat_ordered", "SELECT n_regionkey, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 sql("agg_bare_column_max", "SELECT o_custkey, max(o_totalprice) AS top, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS top_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, max(o_totalprice) AS top, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top_order FROM orders GROUP BY o_custkey")
 sql("agg_json_group_array", "SELECT n_regionkey, to_json(array_sort(collect_list(n_nationkey))) AS keys FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(to_json(list(n_nationkey ORDER BY n_nationkey)) AS VARCHAR) AS keys FROM nation GROUP BY n_regionkey")

@@ -126,11 +126,11 @@ def _catalog(spark, t):
     return db.query("SELECT type, name, tbl_name FROM sqlite_schema")
 
 
-@plan("pragma_table_info", "SELECT * FROM (VALUES (0, 'id', 'INTEGER', 0, 1), (1, 'v', 'TEXT', 1, 0), (2, 'w', 'REAL', 0, 0)) t(cid, name, type, \"notnull\", pk)")
+@plan("pragma_table_info", "SELECT * FROM (VALUES (0, 'sku', 'INTEGER', 0, 1), (1, 'label', 'TEXT', 1, 0), (2, 'weight', 'REAL', 0, 0), (3, 'photo', 'BLOB', 0, 0)) t(cid, name, type, \"notnull\", pk)")
 def _table_info(spark, t):
     db = Engine(spark).open(":memory:")
-    db.execute("CREATE TABLE pt (id INTEGER PRIMARY KEY, v TEXT NOT NULL, w REAL)")
-    return db.execute("PRAGMA table_info(pt)").drop("dflt_value")
+    db.execute("CREATE TABLE goods (sku INTEGER PRIMARY KEY, label TEXT NOT NULL, weight REAL, photo BLOB)")
+    return db.execute("PRAGMA table_info(goods)").drop("dflt_value")
 
 
 @plan("ddl_alter", "SELECT r_regionkey AS id, r_name AS title, 5 AS stars FROM region")
@@ -149,6 +149,78 @@ def _view_generated(spark, t):
     return db.query("SELECT id, twice FROM big")
 
 
+@plan("dml_concurrent_append", "SELECT s_suppkey AS x, 1 AS n FROM supplier WHERE s_suppkey <> 7 UNION ALL SELECT 1000000 + k, 1 FROM (VALUES (1), (2), (3)) v(k)")
+def _concurrent_append(spark, t):
+    """Writers that began at one generation; whoever comes later gets later row ids."""
+    first = Engine(spark).open(":memory:")
+    first.execute("CREATE TABLE c (x INTEGER)")
+    others = [Engine(spark).open(first.store.root) for _ in range(3)]
+    first.import_table("supplier", t["supplier"])
+    first.execute("INSERT INTO c SELECT s_suppkey FROM supplier")
+    for k, db in enumerate(others):
+        db.execute(f"INSERT INTO c VALUES ({1_000_001 + k})")
+    last = Engine(spark).open(first.store.root)
+    last.execute("VACUUM; DELETE FROM c WHERE x = 7")
+    return last.query("SELECT x, count(rowid) AS n FROM c GROUP BY x")
+
+
+@plan("dml_update_or", "SELECT * FROM (VALUES (1, 'a'), (4, 'b'), (9, 'd')) v(id, name)")
+def _update_or(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.execute("CREATE TABLE u (id INTEGER PRIMARY KEY, name TEXT); INSERT INTO u VALUES (1, 'a'), (2, 'b'), (4, 'c'), (5, 'd'); UPDATE OR IGNORE u SET id = 4 WHERE id = 1; UPDATE OR REPLACE u SET id = 4 WHERE id = 2; UPDATE u SET id = 9 WHERE id = 5")
+    return db.query("SELECT id, name FROM u")
+
+
+@plan("ddl_partial_unique", "SELECT r_regionkey AS k, 'kept' AS state FROM region UNION ALL SELECT 0, 'gone'")
+def _partial_unique(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.import_table("region", t["region"])
+    db.execute("CREATE TABLE s (k INTEGER, state TEXT); CREATE UNIQUE INDEX one ON s(k) WHERE state = 'kept'; INSERT INTO s SELECT r_regionkey, 'kept' FROM region; INSERT INTO s VALUES (0, 'gone'); INSERT OR IGNORE INTO s VALUES (1, 'kept')")
+    return db.query("SELECT k, state FROM s")
+
+
+@plan("ddl_rename_kept", "SELECT r_regionkey AS num, r_regionkey * 3 AS triple FROM region WHERE r_regionkey >= 0")
+def _rename(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.import_table("region", t["region"])
+    db.execute("CREATE TABLE a (k INTEGER CHECK (k >= 0), triple INTEGER AS (k * 3) STORED); CREATE UNIQUE INDEX ak ON a(k); ALTER TABLE a RENAME COLUMN k TO num; ALTER TABLE a RENAME TO b; INSERT INTO b(num) SELECT r_regionkey FROM region; DROP INDEX ak")
+    return db.query("SELECT num, triple FROM b")
+
+
+@plan("dml_foreign_keys", "SELECT n_nationkey AS id, CASE WHEN n_regionkey <> 2 THEN n_regionkey END AS region FROM nation WHERE n_regionkey <> 3")
+def _foreign_keys(spark, t):
+    db = Engine(spark).open(":memory:")
+    for name in ("region", "nation"):
+        db.import_table(name, t[name])
+    db.execute(
+        """PRAGMA foreign_keys = on; CREATE TABLE r (id INTEGER PRIMARY KEY); INSERT INTO r SELECT r_regionkey FROM region;
+        CREATE TABLE hard (id INTEGER, region INTEGER REFERENCES r(id) ON DELETE CASCADE); CREATE TABLE soft (id INTEGER, region INTEGER REFERENCES r(id) ON DELETE SET NULL);
+        INSERT INTO hard SELECT n_nationkey, n_regionkey FROM nation; INSERT INTO soft SELECT n_nationkey, n_regionkey FROM nation; DELETE FROM r WHERE id IN (2, 3)"""
+    )
+    return db.query("SELECT id, region FROM soft WHERE id IN (SELECT id FROM hard) OR region IS NULL AND id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+
+
+@plan("fn_changes", "SELECT 2 AS c, 5 AS t, 3 AS r")
+def _changes(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.execute("CREATE TABLE n (id INTEGER PRIMARY KEY, v TEXT); INSERT INTO n(v) VALUES ('a'), ('b'), ('c'); UPDATE n SET v = 'z' WHERE id > 1")
+    return db.query("SELECT changes() AS c, total_changes() AS t, last_insert_rowid() AS r")
+
+
+@plan("collate_column", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1 HAVING c_mktsegment = 'BUILDING'")
+def _collate_column(spark, t):
+    db = Engine(spark).open(":memory:")
+    db.import_table("customer", t["customer"].select("c_custkey", "c_mktsegment"))
+    db.execute("CREATE TABLE s (segment TEXT COLLATE NOCASE); INSERT INTO s SELECT c_mktsegment FROM customer")
+    return db.query("SELECT segment, count(*) AS n FROM s WHERE segment = 'building' GROUP BY segment")
+
+
+@plan("file_statistics", "SELECT 'supplier' AS name, count(*) AS cells FROM supplier")
+def _file_statistics(spark, t):
+    db = _supplier(spark, t)
+    return db.query("SELECT name, sum(ncell) AS cells FROM dbstat GROUP BY name")
+
+
 @plan("bulk_insert_million", "SELECT count(*) AS n, sum(length('v' || range)) AS letters FROM range(1, 1000001)")
 def _bulk_insert(spark, t):
     db = Engine(spark).open(":memory:")
@@ -156,8 +228,15 @@ def _bulk_insert(spark, t):
     return db.query("SELECT count(*) AS n, sum(length(value)) AS letters FROM t")
 
 
+_POINTS: dict[str, str] = {}
+
+
 @plan("point_select_by_key", "SELECT 777 AS id, 'v777' AS value")
 def _point_select(spark, t):
-    db = Engine(spark).open(":memory:")
-    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, value TEXT); WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 10000) INSERT INTO t SELECT x, 'v' || x FROM c")
-    return db.query("SELECT id, value FROM t WHERE id = 777")
+    """A select by key from a table of many files, which is made once for each application: only files that can hold the key are opened."""
+    application = spark.sparkContext.applicationId
+    if application not in _POINTS:
+        db = Engine(spark).open(":memory:")
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, value TEXT); WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 10000) INSERT INTO t SELECT x, 'v' || x FROM c")
+        _POINTS[application] = db.store.root
+    return Engine(spark).open(_POINTS[application], read_only=True).query("SELECT id, value FROM t WHERE id = 777")

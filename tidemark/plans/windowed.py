@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import windows
 
-from .registry import plan, sql
-
-_E = "FROM events WHERE user_id < 40"
+from .registry import dialect, plan, sql
 
 sql(
     "win_rank_family",
@@ -88,8 +86,28 @@ def _exclude_ties(spark, t):
     "SELECT p_partkey, max(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS others FROM part",
 )
 def _exclude_current_max(spark, t):
-    w = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(-2, 2)
-    return t["part"].select("p_partkey", windows.extreme_excluding_row("p_size", w, True).alias("others"))
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    return t["part"].select("p_partkey", windows.extreme_excluding_row("p_size", w, 2, 2, True).alias("others"))
+
+
+dialect(
+    "dialect_groups_frame",
+    "SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near_sum, count(*) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS 2 PRECEDING) AS upto FROM part WHERE p_retailprice > 950",
+    "SELECT p_partkey, sum(CAST(p_size AS BIGINT)) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near_sum, count(*) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS 2 PRECEDING) AS upto FROM part WHERE p_retailprice > 950",
+)
+dialect(
+    "dialect_exclude",
+    """SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS a,
+        max(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS b,
+        count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS c,
+        min(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS d,
+        count(p_size) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS e FROM part""",
+    """SELECT p_partkey, sum(CAST(p_size AS BIGINT)) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS a,
+        max(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS b,
+        count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS c,
+        min(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS d,
+        count(p_size) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS e FROM part""",
+)
 
 
 sql(
