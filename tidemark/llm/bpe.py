@@ -19,7 +19,10 @@ Decoding. Bytes of all entries lie one after the other in one array; an offset
 table gives each id's part of it, so decoding is a gather.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
-strings of special entries in a text become their ids, as the library does.
+strings of special entries in a text become their ids, as the library does. Rows
+with a null id, and rows that repeat an id, are each encoded by their own text; an
+empty table gives no rows; other columns are not read. A very long text is a slice
+of its own, at some 30 bytes of arrays a byte.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ class Vocabulary:
     def __init__(self, path: str):
         import ahocorasick
 
-        with open(path, encoding="utf-8") as f:
+        with open(chunks.place(path), encoding="utf-8") as f:
             told = json.load(f)
         letters, model = byte_letters(), told["model"]
         spelled = {t: bytes(letters[c] for c in t) for t in model["vocab"] if all(c in letters for c in t)}
@@ -225,5 +228,6 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str, outputs: bool) ->
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = False) -> DataFrame:
     """Ids and decoded text of every document, as digests; with `outputs` also as `ids` and `decoded`."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * outputs
+    path = chunks.shipped(docs.sparkSession, path)
     rows = docs.select(shared.named(id_col).cast("long").alias("doc_id"), F.coalesce(shared.named(text_col), F.lit("")).alias("text"))
     return shared.through(rows, lambda it: _round_trip(it, path, outputs), schema)

@@ -24,6 +24,8 @@ from collections.abc import Callable
 import numpy as np
 
 import pyarrow as pa
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 from . import shared
 from .shingles import mix
@@ -198,7 +200,7 @@ def library_encoder(path: str, plain: bool = False) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
+    made = Tokenizer.from_file(place(path))
     made.encode_special_tokens = plain
     made.no_truncation()
     made.no_padding()
@@ -208,6 +210,22 @@ def library_encoder(path: str, plain: bool = False) -> Encoder:
 shared.forgets.append(library_encoder.cache_clear)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends a vocabulary file along with the application; what workers know it by."""
+    if (spark.sparkContext.applicationId, path) not in _SHIPPED:
+        spark.sparkContext.addFile(path)
+        _SHIPPED.add((spark.sparkContext.applicationId, path))
+    return path
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def place(path: str) -> str:
+    """Where a worker finds a vocabulary file: under its own path, else where the application's files are."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file on this machine."""
     import public_tokenizers

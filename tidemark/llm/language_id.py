@@ -53,6 +53,8 @@ STEPS, RATE, PENALTY = 40, 0.15, 1e-6
 SIZE, LEXICON_LEAST = 1 << 17, 2
 MOST_WORDS = 500_000
 UNKNOWN = "und"
+#: A label column with more values than this is refused: each is a column of weights.
+MOST_LANGUAGES = 1_000
 
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -300,9 +302,11 @@ def sample(docs: DataFrame, teaches: Column, id_col: str, text_col: str, lang_co
     hash is below a bound that leaves somewhat more than are wanted of its language.
     """
     taught = docs.where(teaches & shared.named(lang_col).isNotNull() & shared.named(text_col).isNotNull() & shared.named(id_col).isNotNull()).select(shared.named(id_col).cast("long").alias("id"), shared.named(lang_col).alias("lang"), shared.named(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return []
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{len(counts)} languages; a model has at most {MOST_LANGUAGES}")
     spread = F.xxhash64("id", F.lit(SEED))
     bound = {lang: min(1.0, 2 * DOCS_PER_LANGUAGE / n) for lang, n in counts.items()}
     within = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(bound.items()) for x in pair]), F.col("lang"))

@@ -121,6 +121,7 @@ def _packed(group: pa.Table, room: int) -> pa.Table:
 
 def pack(docs: DataFrame, path: str, end_id: int, room: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of every document with their sequence and place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    path = chunks.shipped(docs.sparkSession, path)
     rows = docs.select(shared.named(id_col).cast("long").alias("doc_id"), F.coalesce(shared.named(text_col), F.lit("")).alias("text"))
     extra = ", ids array<long>" * with_ids
     made = shared.through(rows, lambda it: _pieces(it, path, end_id, room, with_ids), "doc_id long, _print long, start long, length long, ids_crc32 long, doc_tokens long" + extra)

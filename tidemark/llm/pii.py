@@ -14,15 +14,18 @@ runs over the next larger one until it lands inside. Numbers are paired, 0 with
 2 with 3 and so on; a pair of which one number would stay exchanges its images, so
 pseudonyms stay distinct and no paired value stays as it is.
 
-Defined results: a null text stays null with no findings; spans do not overlap,
-the kind that is listed first wins; what fails its validation is left alone;
-other columns pass through and may carry any name.
+Defined results: a null text stays null with no findings, an empty one empty; spans
+do not overlap, the kind that is listed first wins, and of one kind the first in
+the text; what fails its validation is left alone; rows that repeat an id or a
+text are treated each by itself and get the same pseudonyms; an empty table gives
+no rows; a text of any length is read whole, and values longer than `PIECE` are
+permuted piece by piece; other columns pass through and may carry any name.
 """
 
 from __future__ import annotations
 
-import datetime
 import bisect
+import datetime
 import functools
 import hashlib
 import re
@@ -36,6 +39,8 @@ from pyspark.sql import types as T
 from . import shared
 
 FEISTEL_ROUNDS = 8
+#: Longer values are permuted piece by piece, each piece under a key of its own, so work grows with their length only.
+PIECE = 512
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -82,8 +87,15 @@ def _kind(c: str) -> str:
     return "d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else ""
 
 
+def _pieces(value: str, key: bytes) -> Iterator[tuple[str, bytes]]:
+    for i in range(0, len(value), PIECE):
+        yield value[i : i + PIECE], hashlib.blake2b(i.to_bytes(8, "big"), digest_size=32, key=key).digest()
+
+
 def same_shape(value: str, key: bytes, tweak: bytes) -> str:
     """Digits for digits, letters for letters, everything else in its place."""
+    if len(value) > PIECE:
+        return "".join(same_shape(piece, own, tweak) for piece, own in _pieces(value, key))
     kinds = [_kind(c) for c in value]
     x, size = 0, 1
     for c, k in zip(value, kinds, strict=True):
@@ -100,6 +112,8 @@ def same_shape(value: str, key: bytes, tweak: bytes) -> str:
 
 def hexadecimal(value: str, key: bytes, tweak: bytes) -> str:
     """A hexadecimal string as another of the same length and case."""
+    if len(value) > PIECE:
+        return "".join(hexadecimal(piece, own, tweak) if value != value.upper() else hexadecimal(piece, own, tweak).upper() for piece, own in _pieces(value, key))
     made = f"{permuted(int(value, 16), 16 ** len(value), key, tweak):0{len(value)}x}"
     return made.upper() if value.upper() == value else made
 

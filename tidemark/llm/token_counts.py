@@ -72,6 +72,7 @@ def id_width(path: str, end_id: int) -> int:
 def write_flat(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes documents to flat files, a file a partition; one row a document: part, uri, place, doc_id, bytes of the file."""
     width = id_width(path, end_id)
+    path = chunks.shipped(docs.sparkSession, path)
     rows = docs.select(shared.named(id_col).cast("long").alias("doc_id"), F.coalesce(shared.named(text_col), F.lit("")).alias("text"))
     return shared.staged(shared.through(rows, lambda it: _flat(it, folder, path, end_id, width), "part int, uri string, place long, doc_id long, bytes long"), "flat-files")
 

@@ -211,6 +211,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    path = chunks.shipped(docs.sparkSession, path)
     rows = docs.select(shared.named(id_col).cast("long").alias("doc_id"), F.coalesce(shared.named(text_col), F.lit("")).alias("text"))
     order = F.col("doc_id").asc_nulls_first()
     dealt = rows.repartitionByRange(shared.sort_partitions(rows), order, F.xxhash64("text"), F.rand(17)).sortWithinPartitions(order)

@@ -18,10 +18,13 @@ apart again and checks every declared length and digest on the way.
 Of equal payloads of at least `LEAST_SHARED` bytes the page with the largest id
 has the response; the others are revisits that refer to it and hold no payload.
 
+Payloads are equal when their SHA-256 and size are; SHA-1 is what the digest field
+of a record has.
+
 Defined results: a null page counts as empty; a null or empty URL is written as
 `UNKNOWN_URL`, white space in URLs is percent-encoded; a null page id is never the
-largest; pages that repeat both id and payload are responses all; an empty table
-writes no file.
+largest; pages that repeat both id and payload are responses all if they have the
+largest id; an empty table writes no file; other columns are not read.
 """
 
 from __future__ import annotations
