@@ -164,4 +164,29 @@ def test_triggers_run_for_all_changed_rows(db):
     db.execute("INSERT INTO items(v) VALUES ('four'); UPDATE items SET v = 'x' WHERE id <= 2; UPDATE items SET v = v; DELETE FROM items WHERE id = 3")
     assert rows(db.query("SELECT what, id, coalesce(was, '-'), coalesce(now, '-') FROM log")) == [("delete", 3, "-", "-"), ("insert", 4, "-", "four"), ("update", 2, "two", "x")]
     with pytest.raises(DialectError):
-        db.execute("CREATE TRIGGER d BEFORE INSERT ON items BEGIN INSERT INTO log(what) VALUES ('x'); END")
+        db.execute("CREATE TRIGGER d INSTEAD OF INSERT ON items BEGIN INSERT INTO log(what) VALUES ('x'); END")
+
+
+def test_triggers_before_and_on_views(db):
+    db.execute(
+        """CREATE TABLE totals (name TEXT, n INTEGER); INSERT INTO totals VALUES ('in', 0), ('out', 0); CREATE TABLE bin (id INTEGER, v TEXT); INSERT INTO bin VALUES (2, 'old');
+        CREATE TRIGGER no BEFORE INSERT ON items WHEN NEW.v = 'bad' BEGIN SELECT RAISE(ABORT, 'no bad items'); END;
+        CREATE TRIGGER few BEFORE DELETE ON items BEGIN SELECT CASE WHEN OLD.v = 'one' THEN RAISE(ABORT, 'the first stays') END; DELETE FROM bin WHERE id = OLD.id; INSERT INTO bin VALUES (OLD.id, OLD.v); END;
+        CREATE TRIGGER up BEFORE UPDATE OF v ON items WHEN length(NEW.v) < 2 BEGIN SELECT RAISE(ROLLBACK, 'too short'); END;
+        CREATE TRIGGER add1 AFTER INSERT ON items BEGIN UPDATE totals SET n = NEW.id WHERE name = 'in'; END"""
+    )
+    for bad, why in (("INSERT INTO items(v) VALUES ('good'), ('bad')", "no bad items"), ("DELETE FROM items", "the first stays"), ("UPDATE items SET v = 'x' WHERE id = 3", "too short")):
+        with pytest.raises(ConstraintError, match=why):
+            db.execute(bad)
+    db.execute("INSERT INTO items(v) VALUES ('four'); DELETE FROM items WHERE id = 2")
+    assert rows(db.query("SELECT * FROM bin")) == [(2, "two")] and rows(db.query("SELECT * FROM totals")) == [("in", 4), ("out", 0)]
+    db.execute(
+        """CREATE VIEW shown AS SELECT id, upper(v) AS name FROM items;
+        CREATE TRIGGER vi INSTEAD OF INSERT ON shown BEGIN INSERT INTO items(id, v) VALUES (NEW.id, lower(NEW.name)); END;
+        CREATE TRIGGER vu INSTEAD OF UPDATE ON shown BEGIN UPDATE items SET v = lower(NEW.name) WHERE id = OLD.id; END;
+        CREATE TRIGGER vd INSTEAD OF DELETE ON shown BEGIN DELETE FROM items WHERE id = OLD.id; END;
+        INSERT INTO shown VALUES (7, 'SEVEN'), (8, 'EIGHT'); UPDATE shown SET name = name || '!' WHERE id >= 7; DELETE FROM shown WHERE name = 'EIGHT!'"""
+    )
+    assert rows(db.query("SELECT id, v FROM items")) == [(1, "one"), (3, "three"), (4, "four"), (7, "seven!")]
+    with pytest.raises(DialectError, match="view"):
+        db.execute("CREATE VIEW plain AS SELECT 1 AS x; DELETE FROM plain")

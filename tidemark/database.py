@@ -553,6 +553,8 @@ class Database:
             action = p.need("REPLACE", "IGNORE", "ABORT", "FAIL", "ROLLBACK").value.upper()
         p.need("INTO")
         name = p.name()
+        if (view := self._view(name)) is not None:
+            return self._insert_view(p, ctes, view)
         t = self._table(name)
         if p.take("AS"):
             p.name()
@@ -596,6 +598,10 @@ class Database:
                 update = self._sets(p, scope)
                 where = truth(p.expr(scope)) if p.take("WHERE") else None
                 p.bare_table = None
+        if self._triggers("BEFORE", "INSERT", name):
+            # What a BEFORE trigger sees: the rows as they will be, but for a row id that is yet to be given.
+            rows = self._kept(rows)
+            self._fire("BEFORE", "INSERT", name, self._completed(t, name, rows).withColumn("_rowid", F.lit(-1).cast("long")), None)
         if action in ("REPLACE", "IGNORE") or update is not None:
             fresh = self._merged(t, name, rows, exact, action, target, update, where)
         elif action == "FAIL":
@@ -605,9 +611,42 @@ class Database:
                 fresh = self._insert_rows(t, name, rows, exact)
             except ConstraintError as e:
                 raise (RolledBack(str(e)) if action == "ROLLBACK" else e) from None
-        self._fire("INSERT", name, fresh, None)
+        self._fire("AFTER", "INSERT", name, fresh, None)
         return self._returning(p, t, name, fresh)
 
+    def _insert_view(self, p: Parser, ctes: str, view: str) -> None:
+        if not self._triggers("INSTEAD OF", "INSERT", view):
+            raise DialectError(f"cannot modify {view} because it is a view")
+        shape = self._tables(text=view)[view]
+        columns = list(shape.columns)
+        if p.take("("):
+            columns = [p.name()]
+            while p.take(","):
+                columns.append(p.name())
+            p.need(")")
+        given = self.spark.sql(ctes + p.query().sql).toDF(*columns)
+        lower = {c.lower(): c for c in given.columns}
+        rows = given.select(*[(F.col(name_sql(lower[f.name.lower()])) if f.name.lower() in lower else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.schema.fields])
+        self._instead("INSERT", view, rows.withColumn("_rowid", F.lit(-1).cast("long")), None)
+
+    def _changed_view(self, p: Parser, ctes: str, view: str, event: str) -> None:
+        """UPDATE or DELETE on a view: the rows it hits, before and after, go to its triggers."""
+        if not self._triggers("INSTEAD OF", event, view):
+            raise DialectError(f"cannot modify {view} because it is a view")
+        rows = self._tables(text=view)[view]
+        scope = Scope({view: column_types(rows)})
+        sets = {}
+        if event == "UPDATE":
+            p.need("SET")
+            sets = {k.lower(): v for k, v in self._sets(p, scope).items()}
+        test = truth(p.expr(scope)) if p.take("WHERE") else "true"
+        self._kept(rows.withColumn("_rowid", F.monotonically_increasing_id())).createOrReplaceTempView("_td_target")
+        old = self._kept(self.spark.sql(f"{ctes}SELECT {name_sql(view)}.* FROM _td_target AS {name_sql(view)} WHERE {test}"))
+        old.createOrReplaceTempView("_td_target")
+        shown = ", ".join(f"{sets[c.lower()] if c.lower() in sets else name_sql(view) + '.' + name_sql(c)} AS {name_sql(c)}" for c in rows.columns)
+        new = self.spark.sql(f"{ctes}SELECT {name_sql(view)}._rowid, {shown} FROM _td_target AS {name_sql(view)}") if event == "UPDATE" else None
+        self._instead(event, view, new, old)
+
     def _insert_until(self, t: dict, name: str, rows: DataFrame, exact: bool) -> DataFrame:
         """OR FAIL: rows in their order up to the first that breaks a constraint, which is then told."""
         made = self._kept(self._numbered(t, self._completed(t, name, rows), exact).withColumn("_seq", F.monotonically_increasing_id()))
@@ -626,7 +665,7 @@ class Database:
             return self._insert_rows(t, name, plain.drop("_rowid"), exact)
         before = made.where(F.col("_seq") < min(stops)).drop("_seq", "_rowid")
         fresh = self._insert_rows(t, name, before, exact)
-        self._fire("INSERT", name, fresh, None)
+        self._fire("AFTER", "INSERT", name, fresh, None)
         raise PartlyDone(f"constraint failed in {name}: {self.changed} rows came before it")
 
     def _sets(self, p: Parser, scope: Scope) -> dict[str, str]:
@@ -712,17 +751,20 @@ class Database:
         self.total_changed += self.changed
         return added if changed is None else added.unionByName(changed)
 
-    def _fire(self, event: str, name: str, new: DataFrame | None, old: DataFrame | None, changed: set[str] = frozenset()) -> None:
-        """Runs the table's AFTER triggers over all changed rows at once."""
-        found = [x for _, x in sorted(self.state["triggers"].items()) if x["table"].lower() == name.lower() and x["event"] == event and (not x["columns"] or {c.lower() for c in x["columns"]} & changed)]
+    def _triggers(self, timing: str, event: str, name: str, changed: set[str] = frozenset()) -> list[dict]:
+        return [x for _, x in sorted(self.state["triggers"].items()) if x["table"].lower() == name.lower() and x["event"] == event and x.get("timing", "AFTER") == timing and (not x["columns"] or {c.lower() for c in x["columns"]} & changed)]
+
+    def _fire(self, timing: str, event: str, name: str, new: DataFrame | None, old: DataFrame | None, changed: set[str] = frozenset()) -> None:
+        """Runs a table's triggers over all changed rows at once."""
+        found = self._triggers(timing, event, name, changed)
         if not found:
             return
         if self.firing >= 8:
             raise DialectError("too many levels of trigger recursion")
         from tidemark.plans import ddl
 
-        columns = [c["name"] for c in self._table(name)["columns"]]
-        shown = lambda df, alias: df.select("_rowid", F.struct(*columns).alias(alias))
+        columns = [c for c in (new if new is not None else old).columns if c not in ("_rowid", "_file")]
+        shown = lambda df, alias: df.select("_rowid", F.struct(*[F.col(name_sql(c)) for c in columns]).alias(alias))
         rows = shown(new, "NEW") if new is not None else None
         if old is not None:
             rows = shown(old, "OLD") if rows is None else rows.join(shown(old, "OLD"), "_rowid")
@@ -733,11 +775,23 @@ class Database:
             for x in found:
                 for statement in x["body"]:
                     rows.createOrReplaceTempView("_td_trigger")
-                    self._dml(ddl.set_based(statement, x["when"]))
+                    kind, text = ddl.set_based(statement, x["when"])
+                    if kind == "dml":
+                        self._dml(text)
+                    elif text and (told := run_query(self.spark, text, {**self._tables(text=text), "_td_trigger": rows}).toDF("m").where("m IS NOT NULL").limit(1).collect()):
+                        raise (RolledBack if kind == "raise ROLLBACK" else ConstraintError)(str(told[0][0]))
         finally:
             self.firing -= 1
         self.changed, self.last_rowid = counts
 
+    def _instead(self, event: str, view: str, new: DataFrame | None, old: DataFrame | None) -> None:
+        """A statement on a view: its INSTEAD OF triggers run, nothing else."""
+        self.changed = (new if new is not None else old).count()
+        self._fire("INSTEAD OF", event, view, new, old)
+
+    def _view(self, name: str) -> str | None:
+        return next((v for v in self.state["views"] if v.lower() == name.lower()), None)
+
     def _kept(self, df: DataFrame) -> DataFrame:
         """Rows that later steps must see alike: written beside the data and read back."""
         path = self.store.uri(f"staged/{uuid.uuid4().hex}")
@@ -749,6 +803,8 @@ class Database:
         if action == "FAIL":
             raise DialectError("UPDATE OR FAIL depends on the order of rows, which a table here has not; use OR ABORT or OR IGNORE")
         name = p.name()
+        if (view := self._view(name)) is not None:
+            return self._changed_view(p, ctes, view, "UPDATE")
         t = self._table(name)
         types = {c["name"]: c["type"] for c in t["columns"]}
         scope = Scope({name: types})
@@ -780,13 +836,17 @@ class Database:
                 self._checked(t, name, changed, changed, keys=any(k[3] is None or k[2] is not None or any(c.lower() in sets for c in k[3]) for k in self._keys(t, name)))
             except ConstraintError as e:
                 raise (RolledBack(str(e)) if action == "ROLLBACK" else e) from None
+        before = self._kept(self._read(t).join(changed.select(F.col("_rowid").alias("_hit")), F.col("_rowid") == F.col("_hit"), "left_semi")) if self.foreign_keys or any(self._triggers(w, "UPDATE", name, set(sets)) for w in ("BEFORE", "AFTER")) else None
+        if self._triggers("BEFORE", "UPDATE", name, set(sets)):
+            self._fire("BEFORE", "UPDATE", name, changed, before, set(sets))
+            # The trigger may have rewritten files of this very table.
+            changed = self._kept(self._located(t).select("_rowid", "_file").join(changed.drop("_file"), "_rowid").select(*changed.columns))
         fresh = changed.withColumn("_row", F.coalesce(F.col(key), F.col("_rowid")) if key else F.col("_rowid"))
 
         def replaced(df: DataFrame) -> DataFrame:
             stay = df.join(changed.select(F.col("_rowid").alias("_hit")), F.col("_rowid") == F.col("_hit"), "left_anti")
             return stay.unionByName(self._completed_update(t, name, fresh))
 
-        before = self._read(t).join(changed.select(F.col("_rowid").alias("_hit")), F.col("_rowid") == F.col("_hit"), "left_semi")
         if drop is not None and not drop.isEmpty():
             self._rewritten(t, changed.select("_file").union(drop.select("_file")), lambda df: replaced(df.join(drop.select(F.col("_rowid").alias("_drop")), F.col("_rowid") == F.col("_drop"), "left_anti")))
         else:
@@ -795,7 +855,7 @@ class Database:
         self.total_changed += self.changed
         if self.foreign_keys:
             self._parents_gone(name, before, "update", None if source else changed)
-        self._fire("UPDATE", name, changed, before, set(sets))
+        self._fire("AFTER", "UPDATE", name, changed, before, set(sets))
         return self._returning(p, t, name, changed)
 
     def _settled(self, t: dict, name: str, changed: DataFrame, action: str) -> tuple[DataFrame, DataFrame | None]:
@@ -893,23 +953,31 @@ class Database:
     def _delete(self, p: Parser, ctes: str, verb: str) -> DataFrame | None:
         p.need("FROM")
         name = p.name()
+        if (view := self._view(name)) is not None:
+            return self._changed_view(p, ctes, view, "DELETE")
         t = self._table(name)
         scope = Scope({name: {c["name"]: c["type"] for c in t["columns"]}})
         if p.take("WHERE"):
             test = truth(p.expr(scope))
             self._located(t, self._pruned(p.text).get(self._name(name))).createOrReplaceTempView("_td_target")
             gone = self._kept(self.spark.sql(f"{ctes}SELECT {name_sql(name)}.* FROM _td_target AS {name_sql(name)} WHERE {test}"))
+            if self._triggers("BEFORE", "DELETE", name):
+                self._fire("BEFORE", "DELETE", name, None, gone)
+                gone = self._kept(self._located(t).join(gone.select(F.col("_rowid").alias("_hit")), F.col("_rowid") == F.col("_hit"), "left_semi"))
             self.changed = gone.count()
             self._deleted(t, name, gone)
         else:
             # Without a condition all files go; none is read.
             gone = self._read(t)
+            if self._triggers("BEFORE", "DELETE", name):
+                self._fire("BEFORE", "DELETE", name, None, gone)
+                gone = self._read(t)
             self.changed = sum(f["rows"] for f in t["files"].values())
             t["files"] = {}
             if self.foreign_keys:
                 self._parents_gone(name, gone, "delete")
         self.total_changed += self.changed
-        self._fire("DELETE", name, None, gone)
+        self._fire("AFTER", "DELETE", name, None, gone)
         return self._returning(p, t, name, gone)
 
     # Schema.

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.folders import written
+
 
 def terms_of(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""
@@ -62,7 +64,7 @@ def parsed(query: str) -> tuple:
 
 def condition(text: str, query: str) -> str:
     """Spark SQL that tells whether a text (also Spark SQL) matches a query; what NOT leaves out is not counted."""
-    padded = f"concat(' ', array_join(regexp_extract_all(lower({text}), '([\\\\p{{L}}\\\\p{{N}}]+)', 1), ' '), ' ')"
+    padded = f"concat(' ', regexp_replace(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '), ' ')"
 
     def told(node: tuple) -> str:
         if node[0] == "leaf":
@@ -76,7 +78,7 @@ def condition(text: str, query: str) -> str:
 
 def matches(text: Column, query: str) -> Column:
     """The same as a condition on a column, which is padded once."""
-    padded = F.concat(F.lit(" "), F.array_join(terms_of(text), " "), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
     def told(node: tuple) -> Column:
         if node[0] == "leaf":
@@ -172,7 +174,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], k1: floa
     """id, score of every document with a query term. Only the query's terms are counted, each by one pass over the words."""
     terms = sorted({w.lower() for w in query})
     words = docs.select(F.col(id_col).alias("id"), terms_of(F.col(text_col)).alias("words"))
-    counted = words.select("id", F.size("words").alias("length"), *[_times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    # Written once, as both the sums over all documents and the scores are made of it.
+    counted = written(words.select("id", F.size("words").alias("length"), *[_times(t).alias(f"tf{i}") for i, t in enumerate(terms)]), "bm25")
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,3 +16,10 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read back: made once, whatever reads it, and kept if executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
