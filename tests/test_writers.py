@@ -268,3 +268,43 @@ def test_a_long_chain_is_read_side_by_side(spark, tmp_path):
     again = Database(spark, "", store=Counted(str(tmp_path / "db")), read_only=True)
     # The state is remembered: only whether a newer commit is there is asked.
     assert again.state == first.state and Counted.gets == 1
+
+
+def test_writers_take_turns_by_lease(spark, db, monkeypatch):
+    from tidemark.sources import lease
+
+    now = [1_000.0]
+    monkeypatch.setattr(lease.time, "time", lambda: now[0])
+    db.execute("CREATE TABLE t (x INTEGER)")
+    one, two = (lease.Lease(db.store, owner, ttl=30, skew=5) for owner in ("one", "two"))
+    first = Database(spark, db.store.root, lease=one.claim())
+    first.execute("INSERT INTO t VALUES (1)")
+    with pytest.raises(lease.LeaseHeld):
+        two.claim()
+    now[0] += 27
+    assert not one.live()
+    first.execute("INSERT INTO t VALUES (2)")  # renewed on the way
+    assert one.live()
+    now[0] += 36
+    second = Database(spark, db.store.root, lease=two.claim())
+    with pytest.raises(lease.LeaseLost):
+        first.execute("INSERT INTO t VALUES (3)")
+    second.execute("INSERT INTO t VALUES (4)")
+    two.release()
+    one.claim()
+    assert one.live() and len(db.store.list("leases/")) == 1
+    assert rows(Engine(spark).open(db.store.root).query("SELECT x FROM t")) == [(1,), (2,), (4,)]
+
+
+def test_objects_in_pieces(tmp_path):
+    for store in (LocalStore(str(tmp_path / "a")), ArrowStore(f"file://{tmp_path}/b", single_writer=True)):
+        store.put_stream("x/y", (bytes([k]) * 3 for k in range(65, 70)))
+        assert store.get("x/y") == b"AAABBBCCCDDDEEE" and store.list("x/") == ["x/y"]
+
+        def broken():
+            yield b"half"
+            raise OSError("gone")
+
+        with pytest.raises(OSError):
+            store.put_stream("x/z", broken())
+        assert store.get("x/z") is None

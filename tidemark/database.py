@@ -24,6 +24,7 @@ from tidemark.plans import dialect, prune, script
 from tidemark.plans.dialect import DialectError, Parser, Scope, name_sql
 from tidemark.session import Session, column_types, run_query
 from tidemark.sources.folders import shared_folder
+from tidemark.sources.lease import Lease
 from tidemark.sources.log import Log, difference
 from tidemark.sources.store import Store, open_store
 
@@ -72,7 +73,7 @@ class ReadOnly(RuntimeError):
 
 
 class Database:
-    def __init__(self, spark: SparkSession, root: str, mode: str = "snapshot", read_only: bool = False, store: Store | None = None, single_writer: bool = False):
+    def __init__(self, spark: SparkSession, root: str, mode: str = "snapshot", read_only: bool = False, store: Store | None = None, single_writer: bool = False, lease: Lease | None = None):
         if mode not in ("snapshot", "fresh"):
             raise ValueError(f"unknown consistency mode {mode!r}")
         if root == ":memory:":
@@ -82,6 +83,8 @@ class Database:
         self.log = Log(self.store)
         self.base = self.log.load()
         self.state = copy.deepcopy(self.base)
+        #: Where writers take turns; without one, whoever commits first goes first.
+        self.lease = lease
         self.in_transaction = False
         self.savepoints: list[tuple[str, dict]] = []
         self.foreign_keys = False
@@ -281,6 +284,8 @@ class Database:
             change["tables"][n]["whole"] = True
         old = {n: t["next_rowid"] for n, t in self.base["tables"].items()}
         try:
+            if self.lease is not None:
+                self.lease.fence()
             self.base = self.log.publish(self.base, change)
             if self.last_table in old and self.last_table in self.base["tables"]:
                 # What others gave out in between came first.

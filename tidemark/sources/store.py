@@ -6,6 +6,7 @@ import os
 import posixpath
 import re
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -34,6 +35,10 @@ class Store:
     def put(self, key: str, data: bytes) -> None:
         raise NotImplementedError
 
+    def put_stream(self, key: str, pieces: Iterable[bytes]) -> None:
+        """Puts an object piece by piece; it is there as a whole or not at all."""
+        self.put(key, b"".join(pieces))
+
     def create(self, key: str, data: bytes) -> bool:
         """Puts an object that is not there yet; false if one is. This is what commits are ordered by."""
         raise NotImplementedError
@@ -84,11 +89,14 @@ class LocalStore(Store):
             f.seek(start)
             return f.read(size)
 
-    def _written(self, key: str, data: bytes) -> str:
+    def put_stream(self, key: str, pieces: Iterable[bytes]) -> None:
+        os.replace(self._written(key, pieces), self._at(key))
+
+    def _written(self, key: str, pieces: bytes | Iterable[bytes]) -> str:
         os.makedirs(os.path.dirname(self._at(key)), exist_ok=True)
         private = f"{self._at(key)}.{uuid.uuid4().hex}.tmp"
         with open(private, "wb") as f:
-            f.write(data)
+            f.writelines([pieces] if isinstance(pieces, bytes) else pieces)
             f.flush()
             os.fsync(f.fileno())
         return private
@@ -143,11 +151,15 @@ class ArrowStore(Store):
             return None
 
     def put(self, key: str, data: bytes) -> None:
+        self.put_stream(key, [data])
+
+    def put_stream(self, key: str, pieces: Iterable[bytes]) -> None:
         target = f"{self.path}/{key}"
         self.files.create_dir(posixpath.dirname(target), recursive=True)
         private = f"{target}.{uuid.uuid4().hex}.tmp"
         with self.files.open_output_stream(private) as f:
-            f.write(data)
+            for piece in pieces:
+                f.write(piece)
         self.files.move(private, target)
 
     def create(self, key: str, data: bytes) -> bool:
