@@ -125,14 +125,6 @@ def bytes_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None
     return pa.Array.from_buffers(kind or pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def without_space(column: pa.Array) -> pa.Array:
-    """The texts of a column after deleting all white space, as bytes."""
-    data, offsets = text_bytes(column)
-    keep = ~SPACE_BYTES[data]
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return bytes_array(data[keep], before[offsets])
-
-
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` bytes of the given column, a longer text alone in its slice."""
     for batch in batches:

@@ -220,26 +220,33 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uri, keys) to (doc_id, part, ids) of the keys that the shard has."""
+    """(part, uri, k), shard after shard, to (doc_id, part, ids) of the keys that the shards have."""
+    opened, shard = None, None
     for batch in batches:
-        for row in batch.to_pylist():
-            shard, keys = Shard(row["uri"]), np.array(row["keys"], np.int64)
-            found = shard.find(keys)
+        uris, keys = batch.column("uri").to_pylist(), batch.column("k").to_numpy()
+        cuts = [0, *(i for i in range(1, len(uris)) if uris[i] != uris[i - 1]), len(uris)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if opened != uris[a]:
+                opened, shard = uris[a], Shard(uris[a])
+            found = shard.find(keys[a:b])
             have = np.flatnonzero(found >= 0)
             ids = [shard.ids(i, i + 1).astype(np.int64) for i in found[have].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[have]), pa.array(np.full(len(have), row["part"], np.int32)), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][have]), batch.column("part").slice(a, b - a).take(pa.array(have)), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "part", "ids"])
 
 
 def lookup(shards: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids of the distinct keys that the written shards hold; each shard that may hold some is opened once.
+    """doc_id and ids of the distinct keys that the written shards hold.
 
-    The ranges of shards do not overlap but at their edges, so the range join finds about one shard a key.
+    The ranges of shards do not overlap but at their edges, so the range join finds about one shard a key. Keys are dealt by
+    shard and a hash, so many keys of one shard are read by several tasks, each of which opens it once.
     """
     wanted = keys.select(shared.named(key_col).cast("long").alias("k")).where("k IS NOT NULL").distinct()
     # One row for each shard, that is for each partition that was written.
     near = wanted.join(F.broadcast(shards.select("part", "uri", "first_key", "last_key")), F.col("k").between(F.col("first_key"), F.col("last_key")))
-    asked = near.groupBy("part", "uri", F.floor(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) / (1 << 14)).alias("deal")).agg(F.collect_list("k").alias("keys"))
-    found = shared.through(asked.select("part", "uri", "keys"), _looked_up, "doc_id long, part int, ids array<long>")
+    asked = near.select("part", "uri", "k").repartition("part", F.pmod(F.xxhash64("k"), F.lit(64))).sortWithinPartitions("part")
+    found = shared.through(asked, _looked_up, "doc_id long, part int, ids array<long>")
     return found.groupBy("doc_id").agg(F.min_by("ids", "part").alias("ids"))
 
 
