@@ -1,5 +1,6 @@
 """The dialect against the engine that defines it, and its statements."""
 
+import re
 import sqlite3
 
 import pytest
@@ -54,6 +55,23 @@ QUERIES = [
     "SELECT a, (SELECT count(*) FROM t AS u WHERE u.a < t.a) AS n FROM t",
     "SELECT DISTINCT a / 2, b * 1.5 FROM t",
     "SELECT sum(b) OVER (PARTITION BY a ORDER BY b) FROM t WHERE b IS NOT NULL",
+    "SELECT a, b, sum(b) OVER (ORDER BY a GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE TIES) FROM t",
+    "SELECT a, count(*) OVER (ORDER BY a DESC GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) FROM t WHERE c <> 'z'",
+    "SELECT a, b, min(b) OVER (ORDER BY a, b ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) FROM t",
+    "SELECT a, total(b) OVER (ORDER BY a RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) FROM t",
+    "SELECT a, avg(b) OVER (ORDER BY a GROUPS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), max(b) OVER (ORDER BY a GROUPS 1 PRECEDING EXCLUDE NO OTHERS) FROM t",
+    "SELECT *, count(b) OVER w FROM t WINDOW w AS (PARTITION BY a ORDER BY b GROUPS CURRENT ROW)",
+    "SELECT * FROM t WHERE a NOT IN (SELECT b FROM t WHERE b IS NOT NULL)",
+    "SELECT * FROM t WHERE a NOT IN (SELECT b FROM t)",
+    "SELECT * FROM t WHERE b NOT IN (SELECT a FROM t WHERE a > 99) AND b NOT IN (SELECT a FROM t)",
+    "SELECT a, b FROM t WHERE b NOT IN (SELECT u.b FROM t AS u WHERE u.a = t.a + 1 AND u.b IS NOT NULL)",
+    "SELECT * FROM (VALUES (1 + 1, 'a' || 'b'), (3, NULL))",
+    "SELECT '10' = 10, 10 = '10', '9' < 10, 'x' > 5, c = 2, b = '5', b IN (5, 2) FROM t",
+    "SELECT char(960, 128512, 65), 9223372036854775807 + 1, -9223372036854775807 - 2, 3000000000 * 3",
+    "SELECT fullkey, type, CAST(atom AS TEXT), path, id = 0, parent IS NULL FROM json_tree('{\"a\":[1,{\"b\":null}],\"c d\":true}')",
+    "SELECT fullkey, CAST(value AS TEXT) FROM json_tree('{\"a\":[1,{\"b\":2.5}]}', '$.a')",
+    "WITH RECURSIVE f(n, a, b) AS (SELECT 1, 0, 1 UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 40) SELECT * FROM f",
+    "SELECT date('now') >= '2024-01-01', abs(unixepoch('now') - unixepoch(CURRENT_TIMESTAMP)) < 90, length(strftime('%Y-%m-%d %H', 'now'))",
 ]
 
 
@@ -78,3 +96,62 @@ def test_statements():
     assert script.read_only(" select 1") and not script.read_only("WITH a AS (SELECT 1) SELECT 1")
     with pytest.raises(DialectError):
         script.kind("FROB x")
+
+
+def test_search_words(spark):
+    """MATCH in a column or over all text columns of a table, against plain sets of words."""
+    data = [(1, "The quick brown fox", "red"), (2, "quick-quick fox hunts", None), (3, None, "brown fox quicker"), (4, "", "fox")]
+    df = spark.createDataFrame(data, "id long, a string, b string")
+    words = lambda *t: re.findall(r"\w+", " ".join(x or "" for x in t).lower())
+    for query, holds in {
+        "quick fox": lambda w: "quick" in w and "fox" in w,
+        "quick OR red": lambda w: "quick" in w or "red" in w,
+        "fox NOT hunts": lambda w: "fox" in w and "hunts" not in w,
+        '"quick fox"': lambda w: ("quick", "fox") in zip(w, w[1:], strict=False),
+        "qui*": lambda w: any(x.startswith("qui") for x in w),
+        "(red OR hunts) AND fox": lambda w: ("red" in w or "hunts" in w) and "fox" in w,
+    }.items():
+        got = sorted(r[0] for r in run_query(spark, f"SELECT id FROM t WHERE a MATCH '{query}'", {"t": df}).collect())
+        assert got == [i for i, a, _ in data if holds(words(a))], query
+        got = sorted(r[0] for r in run_query(spark, f"SELECT id FROM t WHERE t MATCH '{query}'", {"t": df}).collect())
+        assert got == [i for i, a, b in data if holds(words(a, b))], query
+
+
+def test_a_kept_index(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import fts
+
+    data = [(i, " ".join(["wind", "of", "the", f"w{i % 7}"] * (i % 3) + ["sea"] * (i % 5))) for i in range(80)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(data, "id long, text string").repartition(4)
+    index = fts.Index.build(df, "id", "text", str(tmp_path / "index"), buckets=8)
+    for query in ("wind", '"of the w3"', "w1 OR w2", "sea NOT wind", "w* AND sea", "nothing", '"the w*"'):
+        want = sorted(r[0] for r in df.where(fts.matches(F.col("text"), query)).select("id").collect())
+        assert sorted(r[0] for r in index.search(query).collect()) == want, query
+    want = {r["id"]: round(r["score"], 9) for r in fts.bm25(df.where("text IS NOT NULL"), "id", "text", ["sea", "w3"]).collect()}
+    again = fts.Index(spark, str(tmp_path / "index"))
+    got = {r["id"]: r["score"] for r in again.bm25(["sea", "w3"]).collect()}
+    assert set(got) == set(want)
+    # A term's postings lie in one folder, and only that is opened.
+    plan = again.of("sea")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d", plan)
+
+
+def test_wide_spans_and_boxes(spark):
+    """Anything from a point to the whole axis, in a few cells each."""
+    import random
+
+    from tidemark.operators import joins
+
+    rng = random.Random(3)
+    spans = [(i, x, x + rng.choice([0, 0.5, 3, 200, 5_000, 1e6])) for i, x in enumerate(rng.uniform(-500, 500) for _ in range(60))]
+    points = [(rng.uniform(-800, 6_000),) for _ in range(150)] + [(spans[0][1],), (spans[1][2],)]
+    left, right = spark.createDataFrame(spans, "i long, lo double, hi double"), spark.createDataFrame(points, "p double")
+    got = sorted((r["i"], r["p"]) for r in joins.range_join(left, right, "lo", "hi", "p", 1.0).collect())
+    assert got == sorted((i, p) for i, lo, hi in spans for (p,) in points if lo <= p <= hi)
+    boxes = [(i, x, x + rng.choice([0, 2, 90, 4_000]), y, y + rng.choice([0, 1, 50])) for i, x, y in ((i, rng.uniform(0, 300), rng.uniform(0, 100)) for i in range(70))]
+    df = spark.createDataFrame(boxes, "i long, x0 double, x1 double, y0 double, y1 double")
+    other = df.toDF(*[f"o_{c}" for c in df.columns])
+    found = joins.box_join(df, other, [("x0", "x1"), ("y0", "y1")], [("o_x0", "o_x1"), ("o_y0", "o_y1")], [2.0, 2.0])
+    want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4])
+    assert sorted((r["i"], r["o_i"]) for r in found.collect()) == want

@@ -66,6 +66,18 @@ def test_a_transaction_of_inserts_and_updates_is_renumbered(spark, db):
     assert [x for _, x in got] == [0, 1, 2, 110, 111] and [i for i, _ in got] == [1, 2, 3, 4, 5]
 
 
+def test_the_change_feed_of_renumbered_files(spark, db):
+    db.execute("CREATE TABLE t (x INTEGER)")
+    other = Engine(spark).open(db.store.root)
+    db.execute("INSERT INTO t VALUES (1)")
+    other.execute("INSERT INTO t VALUES (2)")
+    there = other.generation
+    other.execute("VACUUM")
+    assert rows(other.changes(there, table="t")) == []
+    other.execute("UPDATE t SET x = 20 WHERE x = 2")
+    assert rows(other.changes(there, table="t").select("_rowid", "x", "_change")) == [(2, 2, "delete"), (2, 20, "insert")]
+
+
 def test_keys_of_two_writers_conflict(spark, db):
     db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY)")
     other = Engine(spark).open(db.store.root)

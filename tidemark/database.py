@@ -201,8 +201,9 @@ class Database:
         a, b = old["tables"].get(name), new["tables"].get(name)
         head = b or a
         before, after = set((a or {}).get("files", {})), set((b or {}).get("files", {}))
-        gone = self._read(head, sorted(before - after))
-        came = self._read(head, sorted(after - before))
+        # Each side's files as its own state has them: renumbered files tell so there.
+        gone = self._read(head | {"files": (a or {}).get("files", {})}, sorted(before - after))
+        came = self._read(head | {"files": (b or {}).get("files", {})}, sorted(after - before))
         # Files that were rewritten hold rows that did not change: these cancel.
         return came.exceptAll(gone).withColumn("_change", F.lit("insert")).unionByName(gone.exceptAll(came).withColumn("_change", F.lit("delete")))
 
