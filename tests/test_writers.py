@@ -320,3 +320,18 @@ def test_objects_in_pieces(tmp_path):
         with pytest.raises(OSError):
             store.put_stream("x/z", broken())
         assert store.get("x/z") is None
+
+
+def test_boxes_and_texts_as_tables(db):
+    db.execute("CREATE VIRTUAL TABLE b USING rtree(id, x0, x1, +note); INSERT INTO b VALUES (1, 0, 2, 'low'), (2, 5.5, 9, 'high')")
+    assert rows(db.query("SELECT id, note FROM b WHERE x1 >= 1.5 AND x0 <= 3")) == [(1, "low")]
+    for bad in ("INSERT INTO b VALUES (3, 4, 1, '')", "INSERT INTO b VALUES (1, 0, 1, '')"):
+        with pytest.raises(ConstraintError):
+            db.execute(bad)
+    db.execute("CREATE VIRTUAL TABLE IF NOT EXISTS f USING fts5(title, body UNINDEXED, prefix = '2 3'); INSERT INTO f VALUES ('Grey Heron', 'stands'), ('Night heron', NULL), ('Stork', 'a heron?')")
+    assert rows(db.query("SELECT rowid FROM f WHERE title MATCH 'heron NOT night'")) == [(1,)]
+    assert rows(db.query("SELECT rowid FROM f WHERE f MATCH 'heron'")) == [(1,), (2,), (3,)]
+    with pytest.raises(DialectError, match="module"):
+        db.execute("CREATE VIRTUAL TABLE g USING geo(x)")
+    db.execute("DROP TABLE b")
+    assert db.tables() == ["f"]

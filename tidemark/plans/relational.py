@@ -178,7 +178,7 @@ def _fixpoint(spark, t):
 
 # Subqueries.
 
-sql("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM orders)")
+sql("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
 sql("correlated_scalar", "SELECT p_partkey, (SELECT max(l_quantity) FROM lineitem WHERE l_partkey = p_partkey) AS most FROM part WHERE p_size = 5")
 sql("derived_table", "SELECT bucket, count(*) AS n FROM (SELECT o_custkey, CAST(floor(sum(o_totalprice) / 500000) AS BIGINT) AS bucket FROM orders GROUP BY o_custkey) t GROUP BY bucket")
 sql("exists_correlated", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL '60' DAY) GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL 60 DAY) GROUP BY o_orderpriority")
