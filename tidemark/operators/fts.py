@@ -115,19 +115,22 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text_col: str, root: str, buckets: int = 64) -> Index:
         made = inverted_index(docs, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-        made.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root.rstrip('/')}/postings")
-        lengths = docs.select(F.size(terms_of(F.col(text_col))).alias("l"))
+        # Rebalanced by folder: few files in each, while the folder of a frequent term is split.
+        made.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root.rstrip('/')}/postings")
+        spark = docs.sparkSession
+        words = spark.read.parquet(f"{root.rstrip('/')}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
         # A document without text counts with no words.
-        lengths.agg(F.lit(buckets).alias("buckets"), F.count("*").alias("n"), F.avg(F.greatest("l", F.lit(0))).alias("mean")).write.parquet(f"{root.rstrip('/')}/totals")
-        return cls(docs.sparkSession, root)
+        both = docs.agg(F.count("*").alias("n")).crossJoin(words)
+        both.select(F.lit(buckets).alias("buckets"), "n", F.try_divide(F.col("words").cast("double"), F.col("n")).alias("mean")).write.parquet(f"{root.rstrip('/')}/totals")
+        return cls(spark, root)
 
     def of(self, word: str, prefix: bool = False) -> DataFrame:
         """The postings of a term, or of all terms that begin with it (which may be in any folder)."""
         if prefix:
             return self.postings.where(F.startswith("term", F.lit(word)))
+        # A constant once it is optimised, so only that folder is listed and opened.
         bucket = F.pmod(F.xxhash64(F.lit(word)), F.lit(self.buckets))
-        number = self.spark.range(1).select(bucket).first()[0]
-        return self.postings.where((F.col("bucket") == number) & (F.col("term") == word))
+        return self.postings.where((F.col("bucket") == bucket) & (F.col("term") == word))
 
     def search(self, query: str) -> DataFrame:
         """Ids of the documents that match; NOT leaves out what its left side found."""
