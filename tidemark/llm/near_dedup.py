@@ -10,19 +10,20 @@
    them, its centre, by their sketches: those that agree in `NEAR` bins or more
    are put into its cluster. A member `x` that agrees less can only be linked to
    members that agree with the centre at most `RING` bins more (Jaccard distance
-   is a metric); these go into further rounds with another centre, and what a few
-   rounds leave is compared in blocks. Clusters therefore hold every pair that
-   may be linked, and come from a number of rows in proportion to the buckets'
-   members.
-   One kind of pair can escape a bucket: two rows that agree with different centres
-   in `NEAR` bins or more, each with one only. It is lost if that happens in every
-   bucket that they share (17 of 44 at 0.80) and no other link ties their clusters.
+   is a metric); these go into further rounds with another centre. Rows of one
+   bucket that a few rounds leave in different clusters are compared in blocks: all
+   but those of the bucket's largest cluster, with all rows. Clusters therefore hold
+   every pair that may be linked; rows are dealt in proportion to the buckets'
+   members but for those that the rounds leave apart.
 4. Each cluster is verified on full sets. Its centre, the member that agrees best
    with those it was compared with, is held against every member; members that no
-   centre is linked with give the next centre, for `VERIFIED` rounds. What is still
-   open then, and only that, is held against all members in cells of bounded bytes,
-   each counting its intersections at once as a product of incidence matrices. So a
-   template with any number of variants costs a comparison each, not all pairs.
+   centre is linked with give the next centre, for `VERIFIED` rounds. Members that
+   these links tie together need no more comparison. All but the largest such group
+   of a cluster are held against all members in cells of bounded bytes, each
+   counting its intersections at once as a product of incidence matrices; members
+   whose distances to the first centre differ by more than a link allows are not
+   put into one cell. So a template with any number of variants costs a comparison
+   each, not all pairs.
 5. Components of those links are the result.
 
 Two sets are linked when 100 * intersection >= percent * union; sets hold 64-bit
@@ -53,6 +54,8 @@ NEAR, RING, LINK = 72, 70, 106
 ROUNDS, BLOCK = 2, 256
 #: Rounds of centres in verification; bytes of sets on one side of a cell.
 VERIFIED, CELL_BYTES = 3, 4 << 20
+#: What names a comparison with a centre.
+TOLD = ["cluster", "doc_id", "print", "centre", "centre_print"]
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,17 +137,22 @@ def _clusters(reps: DataFrame) -> DataFrame:
             held.join(agree, (F.col("x") == F.col("ax")) & (F.col("c") == F.col("ac"))).where(F.col("agree") < NEAR + RING).select("bucket", "x", (F.col("old") | (F.col("agree") >= NEAR)).alias("old")),
             f"rest-{k}",
         )
-        if rows.where("NOT old").isEmpty():
+        # After the first round a bucket's old rows share its one centre; later ones may have unlike centres.
+        if k == 0 and rows.where("NOT old").isEmpty():
             return edges
-    # What is left: each row without a cluster against all rows of its bucket. Two rows that have clusters need no comparison,
-    # so the number of rows dealt grows with the bucket, and with the square of those left alone.
+    # What is left: rows of one bucket that are in different clusters by now (a row without edges is its own). Those of the
+    # bucket's largest cluster need no comparison with each other, so the number of rows dealt grows with the bucket, and with
+    # the square of those outside that cluster.
+    known = components.components(edges, "near")
+    rows = shared.staged(rows.join(known, F.col("x") == F.col("node"), "left").select("bucket", "x", F.coalesce("root", "x").alias("root")), "rest-roots")
+    largest = F.max_by("root", F.struct("n", -F.col("root"))).alias("most")
     sizes = shared.staged(
-        rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(~F.col("old"), 1)).alias("alone")).where("n > 1 AND alone > 0").select(F.col("bucket").alias("b"), F.ceil(F.col("alone") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights")),
+        rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("top"), largest).where("top < n").select(F.col("bucket").alias("b"), "most", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights")),
         "rest-sizes",
     )
     last = rows.join(sizes, F.col("bucket") == F.col("b")).join(reps.select("rep", "sketch"), F.col("x") == F.col("rep"))
     own = F.pmod(_spread("x", 7), F.when(F.col("left"), F.col("lefts")).otherwise(F.col("rights"))).cast("int")
-    sides = last.withColumn("left", F.explode(F.when(F.col("old"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).withColumn("own", own)
+    sides = last.withColumn("left", F.explode(F.when(F.col("root") == F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).withColumn("own", own)
     cells = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("rights")).otherwise(F.col("lefts")) - 1)))
     dealt = cells.select("bucket", F.when(F.col("left"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("left"), F.col("other")).otherwise(F.col("own")).alias("j"), "x", "sketch", "left")
     more = dealt.groupBy("bucket", "i", "j").applyInArrow(_cell_edges, "u long, v long")
@@ -163,11 +171,13 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_centre(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Whether each member is linked with its cluster's centre."""
+    """Whether each member is linked with its cluster's centre, and its Jaccard distance from it."""
     for batch in batches:
         pairs = zip(batch.column("members").to_pylist(), batch.column("centre_members").to_pylist(), strict=True)
-        found = [shingles.linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in pairs]
-        yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("doc_id"), batch.column("centre"), pa.array(found, pa.bool_())], names=["cluster", "doc_id", "centre", "linked"])
+        told = [shingles.overlap(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pairs]
+        both, union = np.array(told, np.int64).reshape(-1, 2).T
+        found, apart = 100 * both >= percent * union, 1 - both / union
+        yield pa.RecordBatch.from_arrays([*batch.select(TOLD).columns, pa.array(found), pa.array(apart)], names=[*TOLD, "linked", "apart"])
 
 
 def _verified(table: pa.Table, percent: int) -> pa.Table:
@@ -217,6 +227,26 @@ def _cells(rows: DataFrame, opened: DataFrame) -> DataFrame:
     return dealt.withColumn("cell", F.explode(cells)).select("cluster", "cell.i", "cell.j", "cell.left", "doc_id", "members")
 
 
+def _zones(told: DataFrame, opened: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sets that meet in cells (zone, id, own) and the open members (cluster, member) of each zone.
+
+    Sets are banded by their distance from the first centre. By the triangle inequality, linked ones are in one band or
+    in neighbouring ones. A zone has the open members of its band, and as others the rest of the band, its neighbours'
+    members, and of the next band the open ones too: they meet those of the band before them there.
+    """
+    zone = lambda band: F.concat_ws(":", "cluster", band)
+    # A centre whose id is repeated has several sets: the distance is that from one of them.
+    first = told.groupBy("cluster", "doc_id", "print").agg(F.min_by("apart", "centre_print").alias("apart"))
+    known = opened.select(F.col("cluster").alias("oc"), F.col("member").alias("om"))
+    placed = first.join(known, (F.col("cluster") == F.col("oc")) & (F.col("doc_id") == F.col("om")), "left")
+    band = F.floor(F.col("apart") / (1 - percent / 100 + 1e-6)).cast("int").alias("band")
+    placed = shared.staged(placed.select("cluster", "doc_id", "print", F.col("om").isNotNull().alias("open"), band), "bands")
+    left = shared.staged(placed.where("open").select(zone("band").alias("cluster"), F.col("doc_id").alias("member")).distinct(), "zones-open")
+    near = F.expr("explode(IF(open, array(band - 1, band), array(band - 1, band, band + 1)))").alias("near")
+    spots = placed.select("cluster", "doc_id", "print", near).select(zone("near").alias("zone"), F.col("doc_id").alias("id"), F.col("print").alias("own"))
+    return spots.join(left.select(F.col("cluster").alias("z")).distinct(), F.col("zone") == F.col("z"), "left_semi"), left
+
+
 def _linked(docs: DataFrame, full: DataFrame, reps: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) that tie together what is linked inside the clusters."""
     clusters = components.components(edges, "clusters")
@@ -229,20 +259,32 @@ def _linked(docs: DataFrame, full: DataFrame, reps: DataFrame, edges: DataFrame,
     sets = shared.staged(shared.through(rows, _with_sets, "cluster long, doc_id long, print binary, members binary"), "cluster-sets")
     if not full.groupBy("doc_id", "print").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         sets = shared.staged(sets.dropDuplicates(["cluster", "doc_id", "print"]), "cluster-sets")
-    opened, found = members, None
+    opened, found, first = members, None, None
     for k in range(VERIFIED):
         best = F.max_by("member", F.struct("score", -F.col("member"))).alias("centre")
         centres = shared.staged(opened.groupBy("cluster").agg(best).withColumnRenamed("cluster", "c"), f"verified-centres-{k}")
-        own = shared.staged(sets.join(centres, (F.col("cluster") == F.col("c")) & (F.col("doc_id") == F.col("centre"))).select("c", "centre", F.col("members").alias("centre_members")), f"centre-sets-{k}")
-        pairs = sets.join(own, F.col("cluster") == F.col("c")).where("doc_id <> centre").select("cluster", "doc_id", "centre", "members", "centre_members")
-        told = shared.staged(shared.through(pairs, lambda it: _with_centre(it, percent), "cluster long, doc_id long, centre long, linked boolean"), f"verified-{k}")
-        linked = told.where("linked").select(F.col("doc_id").alias("u"), F.col("centre").alias("v"))
+        own = shared.staged(sets.join(centres, (F.col("cluster") == F.col("c")) & (F.col("doc_id") == F.col("centre"))).select("c", "centre", F.col("print").alias("centre_print"), F.col("members").alias("centre_members")), f"centre-sets-{k}")
+        pairs = sets.join(own, F.col("cluster") == F.col("c")).select(*TOLD, "members", "centre_members")
+        told = shared.staged(shared.through(pairs, lambda it: _with_centre(it, percent), "cluster long, doc_id long, print binary, centre long, centre_print binary, linked boolean, apart double"), f"verified-{k}")
+        first = told if first is None else first
+        linked = told.where("linked AND doc_id <> centre").select(F.col("doc_id").alias("u"), F.col("centre").alias("v"))
         found = linked if found is None else found.union(linked)
         settled = linked.select("u").union(centres.select("centre")).distinct()
         opened = shared.staged(opened.join(settled, F.col("member") == F.col("u"), "left_anti"), f"open-{k}")
         if opened.isEmpty():
-            return found
-    cells = _cells(sets.select("cluster", "doc_id", "members"), opened)
+            break
+    # Members that were linked with unlike centres may be linked with each other, so a member is settled only if these links
+    # tie it to the largest group of its cluster; one without links is a group of its own.
+    groups = components.components(found, "groups")
+    groups = shared.staged(members.join(groups, F.col("member") == F.col("node"), "left").select("cluster", "member", F.coalesce("root", "member").alias("root")), "cluster-groups")
+    largest = F.max_by("root", F.struct("n", -F.col("root"))).alias("most")
+    most = groups.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(largest).select(F.col("cluster").alias("c"), "most")
+    opened = shared.staged(groups.join(most, F.col("cluster") == F.col("c")).where("root <> most").select("cluster", "member"), "open")
+    if opened.isEmpty():
+        return found
+    spots, opened = _zones(first, opened, percent)
+    rows = sets.join(spots, (F.col("doc_id") == F.col("id")) & (F.col("print") == F.col("own"))).select(F.col("zone").alias("cluster"), "doc_id", "members")
+    cells = _cells(rows, opened)
     return found.union(cells.groupBy("cluster", "i", "j").applyInArrow(lambda t: _verified(t, percent), "u long, v long"))
 
 

@@ -107,13 +107,11 @@ def fingerprint(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, of two sorted sets."""
-    if not len(a) or not len(b):
-        return False
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """The sizes of the intersection and the union of two sorted sets."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < percent * len(large):
-        return False
+    if not len(small):
+        return 0, len(large)
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int((large[at] == small).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return both, len(a) + len(b) - both
