@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import near_dedup, queries
 
 
@@ -34,6 +35,12 @@ def test_op1_ties_chains_of_documents(spark, docs, chained, tmp_path):
     assert got == {i: (n, c, i == c) for i, (n, c) in brute.near(chained, 85).items()}
 
 
+def test_near_stage_keeps_one_of_each_chain(spark, docs, chained):
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    stay = {r["doc_id"] for r in stage(spark, spark.createDataFrame(chained, "doc_id long, text string"), "").collect()}
+    assert stay == {i for i, (_, c) in brute.near(chained, 80).items() if i == c} and len(stay) == 10
+
+
 def test_bucket_rows_of_unlike_centres_share_a_cluster(spark, docs):
     """x and y agree in 141 bins; in each bucket they share, x is near the first round's centre only, y near the second's only."""
     ids = spark.range(1, 200).select("id", F.xxhash64("id", F.lit(0)).alias("a"), F.xxhash64("id", F.lit(1)).alias("b")).collect()
