@@ -1,4 +1,7 @@
-"""Connected components of a graph too large for one machine: alternating large-star and small-star steps."""
+"""Connected components of a graph too large for one machine: alternating large-star and small-star steps.
+
+What is left of it is put together by one task as soon as it has no more than `TASK_EDGES` edges.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 MOST_ROUNDS = 40
+#: Edges that a task puts together at a time, some 40 MB there.
+TASK_EDGES = 1 << 17
 
 
 class Union:
@@ -35,17 +40,28 @@ class Union:
         return True
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of one batch as a star for each of its components."""
+def _contracted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, `most` and a batch at a time, as a star for each of their components."""
+    held, n = [], 0
     for batch in batches:
-        u, v = (batch.column(k).to_numpy() for k in (0, 1))
-        nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
-        sets = Union(len(nodes))
-        for a, b in zip(where[: len(u)].tolist(), where[len(u) :].tolist(), strict=True):
-            sets.join(a, b)
-        root = np.fromiter(map(sets.root, range(len(nodes))), np.int64, len(nodes))
-        far = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["u", "v"])
+        held.append([batch.column(k).to_numpy() for k in (0, 1)])
+        n += batch.num_rows
+        if n > most:
+            yield _stars(held)
+            held, n = [], 0
+    if held:
+        yield _stars(held)
+
+
+def _stars(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    u, v = (np.concatenate(ends) for ends in zip(*held, strict=True))
+    nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    sets = Union(len(nodes))
+    for a, b in zip(where[: len(u)].tolist(), where[len(u) :].tolist(), strict=True):
+        sets.join(a, b)
+    root = np.fromiter(map(sets.root, range(len(nodes))), np.int64, len(nodes))
+    far = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["u", "v"])
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -71,9 +87,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         roots = rows.select(F.col("v").alias("w")).distinct()
         return rows.join(roots, F.col("u") == F.col("w"), "left_semi").isEmpty()
 
-    rows = shared.through(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), _contracted, "u long, v long")
-    rows = shared.staged(rows.distinct(), f"{name}-0")
+    most = TASK_EDGES
+
+    def contracted(rows: DataFrame, k: int) -> DataFrame:
+        return shared.staged(shared.through(rows, lambda it: _contracted(it, most), "u long, v long"), f"{name}-{k}")
+
+    rows = contracted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), 0)
     for k in range(1, MOST_ROUNDS):
+        if rows.count() <= most:
+            rows = contracted(rows.coalesce(1), k)
+            break
+        # Tasks may have told the same edge.
+        rows = shared.staged(rows.distinct(), f"{name}-{k}") if k == 1 else rows
         if settled(rows):
             break
         rows = shared.staged(step(rows, True).distinct(), f"{name}-{k}-large")
