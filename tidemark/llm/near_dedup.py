@@ -34,7 +34,9 @@ with nothing; equal texts of fewer than five words are linked, their word sequen
 being the one shingle; rows that repeat an id count as one document with the links
 of all its rows; a row with a null id is linked with nothing, has a null
 component and is kept; an empty table gives an empty result; other columns are not
-read by `link` and pass through `representatives` under any name.
+read by `link` and pass through `representatives` under any name. `representatives`
+links rows, whatever their ids: rows without an id, or with one that repeats, are
+near duplicates of each other and of other rows by their texts alone.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components, shared, shingles
@@ -312,7 +314,24 @@ def _same_id(full: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, one document of each group, with the columns of the input."""
+    """The rows that stay, one of each group (the smallest id, null last), with the columns of the input."""
+    own = shared.named(id_col).cast("long")
+    if not docs.select(own.alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("d IS NULL OR n > 1").isEmpty():
+        return _one_row_each(docs, percent, own, text_col)
     gone = link(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_td_gone"))
     gone = shared.staged(gone.distinct(), "near-gone")
     return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["_td_gone"], "left_anti")
+
+
+def _one_row_each(docs: DataFrame, percent: int, own: Column, text_col: str) -> DataFrame:
+    """One row of each group where ids do not tell rows apart: a copy of the table has numbers of its own."""
+    row = "_td_row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    numbered = shared.staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-numbered")
+    linked = link(numbered, percent, row, text_col).select(F.col("doc_id").alias("node"), F.col("component_id").alias("component"))
+    # Rows of one id are told apart by their texts, those of one text by their numbers.
+    order = F.struct(own.isNull().alias("without"), own.alias("id"), F.sha2(F.coalesce(shared.named(text_col), F.lit("")), 256).alias("text"), F.col(row).alias("row"))
+    least = numbered.select(F.col(row).alias("k"), order.alias("first")).join(linked, F.col("k") == F.col("node")).groupBy("component").agg(F.min("first").alias("first"))
+    stay = shared.staged(least.select(F.col("first.row").alias("stays")), "near-stay")
+    return numbered.join(stay, numbered[row] == stay["stays"], "left_semi").drop(row)
