@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 
 from . import chunks, shared
 
+#: Texts are encoded in slices of so many bytes, at some 100 bytes of arrays a byte.
+SLICE_BYTES = 1 << 19
 GROUP_DOCS = 4_000
 LEAST_GROUPS = 8
 SEED = 20_481
@@ -87,7 +89,7 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, room: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     shared.serves("packing")
     encoder = chunks.library_encoder(path)
-    for batch in shared.bounded(batches, "text", 2 << 20):
+    for batch in shared.bounded(batches, "text", SLICE_BYTES):
         ids, begins = chunks.with_end(*encoder.encode(batch.column("text")), end_id)
         sizes = np.diff(begins)
         prints = np.fromiter((xxhash.xxh64_intdigest(ids[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)), np.uint64, len(sizes)).view(np.int64)

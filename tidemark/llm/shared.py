@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import posixpath
 import tempfile
 import uuid
@@ -74,6 +76,18 @@ def serves(operator: str) -> None:
         _served[0] = operator
         for forget in forgets:
             forget()
+        give_back()
+
+
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda kept: 0)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: glibc and Arrow's pool keep it otherwise, for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def named(column: str) -> Column:
@@ -137,4 +151,5 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
-    pa.default_memory_pool().release_unused()
+            give_back()
+    give_back()
